@@ -41,8 +41,8 @@ def _reduce(code: np.ndarray, size: int, rows: dict[str, np.ndarray]) -> dict[st
     return out
 
 
-def _split_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per distinct key of each run of SPLIT_ROWS rows of the split."""
+def _split_partials(batches: Iterator[pa.RecordBatch], split_rows: int) -> Iterator[pa.RecordBatch]:
+    """One row per distinct key of each run of ``split_rows`` rows of the split."""
     from pyspark import TaskContext
 
     split = TaskContext.get().partitionId()
@@ -71,7 +71,7 @@ def _split_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if batch.num_rows:
             held.append(batch)
             rows += batch.num_rows
-        if rows >= SPLIT_ROWS:
+        if rows >= split_rows:
             yield flush(held)
             held, rows = [], 0
     if held:
@@ -84,7 +84,7 @@ def _to_arrays(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_block": [group["_block"].iloc[0]], **{k: [v] for k, v in out.items()}})
 
 
-def _sum_arrays(group: pd.DataFrame) -> pd.DataFrame:
+def _sum_arrays(group: pd.DataFrame, block: int) -> pd.DataFrame:
     """Arrays of one block reduced slot by slot, decoded to (code, measures)."""
     size = max(len(x) for x in group["n"])
     out = {k: np.zeros(size, np.int64) for k in ("n", "n_values", "total")} | {"least": np.full(size, _HIGH), "most": np.full(size, _LOW), "last": np.full(size, _LOW)}
@@ -93,17 +93,18 @@ def _sum_arrays(group: pd.DataFrame) -> pd.DataFrame:
             part = out[k][: len(x)]
             step(part, np.asarray(x), out=part)
     there = np.flatnonzero(out["n"])
-    return pd.DataFrame({"_code": group["_block"].iloc[0] * BLOCK + there, **{k: v[there] for k, v in out.items()}})
+    return pd.DataFrame({"_code": group["_block"].iloc[0] * block + there, **{k: v[there] for k, v in out.items()}})
 
 
-def dense_key_stats(df: DataFrame, key: str, value: str | None = None, observed: str | None = None) -> DataFrame:
+def dense_key_stats(df: DataFrame, key: str, value: str | None = None, observed: str | None = None, block: int = BLOCK, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Per-key counts, sums and last observation, balanced whatever the key skew.
 
     ``value`` is an integer column, ``observed`` a timestamp. Returns key_value (type of
     ``key``), n_rows, n_values (non-null values), sum_value, min_value, max_value and
     last_observed; the last four are null for a key without such values. Every row counts,
     repeats too. A null key is a key of its own. An empty input gives no rows. Other columns
-    of ``df`` are ignored, whatever their names.
+    of ``df`` are ignored, whatever their names. ``block`` slots make one accumulator array and
+    ``split_rows`` rows are reduced at once: the result is the same for any.
     """
     spark = df.sparkSession
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -114,16 +115,16 @@ def dense_key_stats(df: DataFrame, key: str, value: str | None = None, observed:
     )
     kind = rows.schema["_k"].dataType
     schema = T.StructType([T.StructField("_k", kind), T.StructField("_split", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n", "n_values", "total", "least", "most", "last"))])
-    partials = stage(rows.mapInArrow(_split_partials, schema), "key-partials")
+    partials = stage(rows.mapInArrow(lambda batches: _split_partials(batches, split_rows), schema), "key-partials")
     codes = stage(dense_codes(partials, "_k", "_code", "key-order"), "key-codes")
     # Few splits feed few shares; the square root keeps both rounds of the reduction narrow.
     last_split = partials.agg(F.max("_split")).first()[0] or 0
     shares = max(1, math.isqrt(last_split + 1))
     coded = partials.join(codes, partials["_k"].eqNullSafe(codes["_k"])).select(
-        F.expr(f"_code div {BLOCK}").alias("_block"), F.pmod("_code", F.lit(BLOCK)).cast("int").alias("_slot"), F.pmod("_split", F.lit(shares)).alias("_share"), "n", "n_values", "total", "least", "most", "last"
+        F.expr(f"_code div {block}").alias("_block"), F.pmod("_code", F.lit(block)).cast("int").alias("_slot"), F.pmod("_split", F.lit(shares)).alias("_share"), "n", "n_values", "total", "least", "most", "last"
     )
     arrays = coded.groupBy("_block", "_share").applyInPandas(_to_arrays, f"_block long, {_ARRAYS}")
-    summed = arrays.groupBy("_block").applyInPandas(_sum_arrays, f"_code long, {_MEASURES}")
+    summed = arrays.groupBy("_block").applyInPandas(lambda group: _sum_arrays(group, block), f"_code long, {_MEASURES}")
     some = lambda c, when: F.when(when, F.col(c))
     has = F.col("n_values") > 0
     return summed.join(codes, "_code").select(

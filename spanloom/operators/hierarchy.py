@@ -114,7 +114,7 @@ def _paths(nodes: pa.Array, rows: np.ndarray, depth: np.ndarray, parent: np.ndar
     return pc.if_else(pa.array(length > 0), lists, pa.scalar(None, lists.type))
 
 
-def _run(table: pa.Table, with_paths: bool) -> Iterator[pa.RecordBatch]:
+def _run(table: pa.Table, with_paths: bool, run_path: int) -> Iterator[pa.RecordBatch]:
     """Hierarchy rows of whole trees, sorted by (tree, node, parent)."""
     tree, node, up = (table.column(c).combine_chunks() for c in ("_tree", "_node", "_parent"))
     key = pc.binary_join_element_wise(tree, node, "\x00")
@@ -131,8 +131,8 @@ def _run(table: pa.Table, with_paths: bool) -> Iterator[pa.RecordBatch]:
     status = np.select([on_cycle, depth < 0, orphan, depth == 0], [2, 3, 1, 0], 4)
     names = pa.array(["root", "orphan_root", "cycle", "below_cycle", "node"])
     take = lambda at: node.take(pa.array(at, mask=at < 0))
-    step = np.cumsum(np.maximum(depth + 1, 1)) if with_paths else np.arange(1, len(depth) + 1) * (RUN_PATH // 50_000)
-    cuts = np.flatnonzero(np.diff(step // RUN_PATH)) + 1
+    step = np.cumsum(np.maximum(depth + 1, 1)) if with_paths else np.arange(1, len(depth) + 1) * max(1, run_path // 50_000)
+    cuts = np.flatnonzero(np.diff(step // run_path)) + 1
     for rows in np.split(np.arange(len(depth)), cuts):
         pick = pa.array(rows)
         paths = _paths(node, rows, depth, parent) if with_paths else pa.nulls(len(rows), pa.list_(pa.string()))
@@ -140,7 +140,7 @@ def _run(table: pa.Table, with_paths: bool) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
-def _grow_runs(with_paths: bool):
+def _grow_runs(with_paths: bool, run_rows: int, run_path: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
@@ -148,7 +148,7 @@ def _grow_runs(with_paths: bool):
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < RUN_ROWS:
+            if rows < run_rows:
                 continue
             # Only whole trees grow; the last one may go on in the next batch.
             table = pa.Table.from_batches(held)
@@ -158,11 +158,11 @@ def _grow_runs(with_paths: bool):
             if not len(ends):
                 continue
             cut = int(ends[-1]) + 1
-            yield from _run(table.slice(0, cut), with_paths)
+            yield from _run(table.slice(0, cut), with_paths, run_path)
             held = table.slice(cut).to_batches()
             rows = len(table) - cut
         if held:
-            yield from _run(pa.Table.from_batches(held), with_paths)
+            yield from _run(pa.Table.from_batches(held), with_paths, run_path)
 
     return work
 
@@ -171,7 +171,7 @@ def _links(df: DataFrame, tree: str, node: str, parent: str) -> DataFrame:
     return df.select(F.col(tree).cast("string").alias("_tree"), F.col(node).cast("string").alias("_node"), F.col(parent).cast("string").alias("_parent"))
 
 
-def hierarchy(df: DataFrame, tree: str, node: str, parent: str, with_paths: bool = True, giant_rows: int = GIANT_ROWS) -> DataFrame:
+def hierarchy(df: DataFrame, tree: str, node: str, parent: str, with_paths: bool = True, giant_rows: int = GIANT_ROWS, run_rows: int = RUN_ROWS, run_path: int = RUN_PATH) -> DataFrame:
     """Place every row of a forest: status, depth, root, path and loop.
 
     A row is (``tree``, ``node``); ``parent`` names a node of the same tree. status is
@@ -187,7 +187,7 @@ def hierarchy(df: DataFrame, tree: str, node: str, parent: str, with_paths: bool
     giants = keyed.groupBy("_tree").count().filter(F.col("count") > giant_rows).select("_tree")
     n_giants = len(giants.take(1))
     small = keyed.join(giants, "_tree", "left_anti") if n_giants else keyed
-    out = small.repartition("_tree").sortWithinPartitions("_tree", "_node", "_parent").mapInArrow(_grow_runs(with_paths), SCHEMA)
+    out = small.repartition("_tree").sortWithinPartitions("_tree", "_node", "_parent").mapInArrow(_grow_runs(with_paths, run_rows, run_path), SCHEMA)
     if n_giants:
         out = out.unionByName(_grow_giants(keyed.join(giants, "_tree", "left_semi"), with_paths))
     null = lambda kind: F.lit(None).cast(kind)

@@ -67,7 +67,7 @@ def _survivors(code: np.ndarray, is_ref: np.ndarray, period: np.ndarray) -> Iter
                 yield left, int(when[at])
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bitmaps(batches: Iterator[pa.RecordBatch], buffer_rows: int) -> Iterator[pa.RecordBatch]:
     """Key-sorted rows (_k, _ref, _period) to (_k, _period) of orphan references."""
 
     def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < BUFFER_ROWS:
+        if rows < buffer_rows:
             continue
         table = pa.Table.from_batches(held)
         keys = table.column("_k").combine_chunks()
@@ -106,7 +106,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(pa.Table.from_batches(held))
 
 
-def orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def orphan_keys(refs: DataFrame, parents: DataFrame, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
     """(key, period) of references no parent defines.
 
     ``refs`` has columns key and period (int or null), ``parents`` has key, of the same type.
@@ -119,11 +119,11 @@ def orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
         .unionAll(parents.filter(F.col("key").isNotNull()).select(F.col("key").alias("_k"), F.lit(False).alias("_ref"), F.lit(None).cast("int").alias("_period")))
     )
     schema = T.StructType([T.StructField("_k", both.schema["_k"].dataType), T.StructField("_period", T.IntegerType())])
-    left = both.distinct().repartition("_k").sortWithinPartitions("_k").mapInArrow(_bitmaps, schema)
+    left = both.distinct().repartition("_k").sortWithinPartitions("_k").mapInArrow(lambda batches: _bitmaps(batches, buffer_rows), schema)
     return left.select(F.col("_k").alias("key"), F.col("_period").alias("period"))
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, buffer_rows: int = BUFFER_ROWS) -> DataFrame:
     """Distinct (row_key, key, period) of references whose key no parent defines.
 
     ``refs`` has row_key, key and period; ``parents`` has key. A parent counts whenever it
@@ -132,7 +132,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     Orphan keys are replicated over SALTS shares for the way back to their rows, so a
     missing key with most of the references spreads too.
     """
-    missing = orphan_keys(refs, parents).select("key").distinct()
+    missing = orphan_keys(refs, parents, buffer_rows).select("key").distinct()
     spread = missing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = refs.select("row_key", "key", "period").withColumn("_salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
     return salted.join(spread, ["key", "_salt"], "left_semi").select("row_key", "key", "period").distinct()

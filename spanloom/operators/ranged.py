@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.session import shuffle_partitions, stage
@@ -28,13 +28,6 @@ class Ranged:
     group: list[str]
 
 
-def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & left[c].eqNullSafe(right[c])
-    return cond
-
-
 def range_totals(df: DataFrame, group: list[str], order: list[str], weight: str, name: str, partitions: int | None = None, rank: bool = False) -> Ranged:
     """Range-sort ``df`` on (group, order) and total ``weight`` within each partition.
 
@@ -62,10 +55,13 @@ def with_global(ranged: Ranged, out: str) -> DataFrame:
     fragments with an offset number at most one per partition: safe to broadcast.
     """
     keys = [PID, *ranged.group]
-    late = ranged.fragments.filter(F.col(START) > 0).select(*keys, START)
-    joined = ranged.rows.join(F.broadcast(late), _same(ranged.rows, late, keys), "left")
-    kept = [ranged.rows[c] for c in ranged.rows.columns if c not in (PID, LOCAL)]
-    return joined.select(*kept, (ranged.rows[LOCAL] + F.coalesce(late[START], F.lit(0))).alias(out))
+    late = ranged.fragments.filter(F.col(START) > 0).select(*(F.col(c).alias(f"_late_{c}") for c in keys), START)
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_late_{c}"))
+    joined = ranged.rows.join(F.broadcast(late), same, "left")
+    kept = [c for c in ranged.rows.columns if c not in (PID, LOCAL)]
+    return joined.select(*kept, (F.col(LOCAL) + F.coalesce(START, F.lit(0))).alias(out))
 
 
 def dense_codes(keys: DataFrame, column: str, out: str, name: str) -> DataFrame:
