@@ -27,8 +27,11 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], prefix: bool =
     """
     terms = sorted({t.lower() for t in terms})
     words = docs.select(F.col(key), F.transform(tokens(F.col(text)), F.lower).alias("_w"))
-    hit = (lambda w, t: w.startswith(t)) if prefix else (lambda w, t: w == t)
-    counts = words.select(key, F.size("_w").alias("length"), *(F.size(F.filter("_w", lambda w, t=t: hit(w, t))).alias(f"_t{i}") for i, t in enumerate(terms))).filter("length > 0")
+
+    def frequency(term: str) -> Column:
+        return F.size(F.filter("_w", lambda w: w.startswith(term) if prefix else w == term))
+
+    counts = words.select(key, F.size("_w").alias("length"), *(frequency(t).alias(f"_t{i}") for i, t in enumerate(terms))).filter("length > 0")
     stats = counts.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"), *(F.sum((F.col(f"_t{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(terms))))
     every = F.lit(True)
     score = F.lit(0.0)
