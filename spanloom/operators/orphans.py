@@ -135,4 +135,5 @@ def orphan_references(refs: DataFrame, parents: DataFrame, buffer_rows: int = BU
     missing = orphan_keys(refs, parents, buffer_rows).select("key").distinct()
     spread = missing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = refs.select("row_key", "key", "period").withColumn("_salt", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, ["key", "_salt"], "left_semi").select("row_key", "key", "period").distinct()
+    # Salting multiplies the orphan keys after their size is known; a merge keeps that off the driver.
+    return salted.join(spread.hint("merge"), ["key", "_salt"], "left_semi").select("row_key", "key", "period").distinct()
