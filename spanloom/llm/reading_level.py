@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import spread
+
 LEVELS = (1, 2, 3, 4, 5)
 #: Hash buckets of the vocabulary: with the levels, they bound the model's size.
 BUCKETS = 1 << 16
@@ -23,19 +25,20 @@ MIN_WORDS = 3
 
 _FENCE = r"(?s)```.*?(```|\z)|~~~.*?(~~~|\z)"
 #: Lines that are no prose: indented code, data, log lines, diffs, tables, rules, headings.
-_NO_PROSE = r"^(\t| {4,}).*|^\s*[\{\[\}\]].*|^\s*\d{4}-\d\d-\d\d[T ]\d\d:.*|^(@@|[-+]\s{2,}|diff |\+\+\+|---).*|^\s*\|.*|^\s*[=\-_*#~]+\s*$|^#+ .*"
-_IDENTIFIER = r"\S*(_|\(|\)|[\p{Ll}][\p{Lu}]|\p{L}\.\p{L})\S*"
+_NO_PROSE = r"(?m)^(?:\t| {4,}|[ \t]*[\{\[\}\]]|[ \t]*\d{4}-\d\d-\d\d[T ]\d\d:|@@|[-+][ \t]{2,}|diff |\+\+\+|---|[ \t]*\||#+ |[ \t]*[=\-_*#~]+[ \t]*$).*$"
+#: Tokens that name code. Looked for at token starts only, so linear also in very long tokens.
+_IDENTIFIER = r"(?<!\S)(?=\S*?(?:[_()]|\p{Ll}\p{Lu}|\p{L}\.\p{L}))\S+"
+_WORD = r"\p{L}[\p{L}\p{M}'’-]*"
 
 
 def prose(text: Column) -> Column:
     """The lines of ``text`` that are prose, in lower case, identifiers removed."""
-    lines = F.split(F.regexp_replace(text, _FENCE, "\n"), r"\r\n|[\r\n\x0B\x0C\u0085  ]")
-    kept = F.filter(lines, lambda x: ~F.regexp_like(x, F.lit(_NO_PROSE)))
-    return F.lower(F.regexp_replace(F.array_join(kept, "\n"), _IDENTIFIER, " "))
+    lines = F.regexp_replace(F.regexp_replace(text, _FENCE, "\n"), _NO_PROSE, "")
+    return F.lower(F.regexp_replace(lines, _IDENTIFIER, ""))
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(prose(text), F.lit(r"\p{L}[\p{L}\p{M}'’-]*"), F.lit(0))
+    return F.regexp_extract_all(prose(text), F.lit(_WORD), F.lit(0))
 
 
 def _bucketed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,7 +69,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     BUCKETS * len(LEVELS) counts reach the driver, however large the corpus.
     """
     rated = labels.filter(F.col(level).isin(*LEVELS)).select(F.col(key).alias("_lid"), F.col(level).cast("int").alias("_level"))
-    known = documents.select(F.col(key).alias(key), F.col(text).alias(text)).join(rated, F.col(key) == F.col("_lid")).select(F.struct(F.col("_lid"), F.col("_level")).alias("_both"), F.col(text).alias("_t"))
+    known = spread(documents.select(key, text)).join(rated, F.col(key) == F.col("_lid")).select(F.struct(F.col("_lid"), F.col("_level")).alias("_both"), F.col(text).alias("_t"))
     bags = _bucketed(known, "_both", "_t").filter(F.size("_w") >= MIN_WORDS)
     counted = bags.select(F.col("_id._level").alias("level"), F.explode(F.concat("_w", F.array(F.lit(-1)))).alias("bucket")).groupBy("level", "bucket").count()
     word, prior = np.zeros((len(LEVELS), BUCKETS)), np.zeros(len(LEVELS))
@@ -83,7 +86,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
 def formula_labels(documents: DataFrame, key: str = "doc_id", text: str = "text", cuts: tuple[float, ...] = (3.0, 6.0, 10.0, 16.0)) -> DataFrame:
     """(key, reading_level) seeds by the automated readability index, for corpora without labels."""
     body = prose(F.col(text))
-    n_words = F.size(F.regexp_extract_all(body, F.lit(r"\p{L}[\p{L}\p{M}'’-]*"), F.lit(0)))
+    n_words = F.size(F.regexp_extract_all(body, F.lit(_WORD), F.lit(0)))
     n_letters = F.length(F.regexp_replace(body, r"[^\p{L}\p{N}]", ""))
     n_sentences = F.greatest(F.lit(1), F.size(F.regexp_extract_all(body, F.lit(r"[.!?;]+(\s|$)"), F.lit(0))))
     index = F.lit(4.71) * n_letters / n_words + F.lit(0.5) * n_words / n_sentences - F.lit(21.43)
@@ -120,6 +123,6 @@ def assign_levels(documents: DataFrame, model: LevelModel, key: str = "doc_id",
                     names=["_id", "n_words", "reading_level", "confidence"],
                 )
 
-    bags = _bucketed(documents, key, text)
+    bags = _bucketed(spread(documents.select(key, text)), key, text)
     kind = bags.schema["_id"].dataType.simpleString()
     return bags.mapInArrow(work, f"_id {kind}, n_words int, reading_level int, confidence double").withColumnRenamed("_id", key)
