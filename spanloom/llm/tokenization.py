@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.session import spread
+
 TOKENIZER_DIR = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Contractions in one recursive query; longer pieces go through it again.
@@ -165,7 +167,7 @@ def _map(df: DataFrame, key: str, text: str, tokenizer_dir: str, tokenizer: str,
     rows = df.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"))
     kind = T.LongType() if count_only else T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), T.StructField("_out", kind)])
-    mapped = rows.mapInArrow(_encode_batches(os.path.join(tokenizer_dir, tokenizer), count_only), schema)
+    mapped = spread(rows).mapInArrow(_encode_batches(os.path.join(tokenizer_dir, tokenizer), count_only), schema)
     return mapped.select(F.col("_id").alias(key), F.col("_out").alias(out))
 
 
