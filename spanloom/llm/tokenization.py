@@ -26,6 +26,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Contractions in one recursive query; longer pieces go through it again.
 ROUND = 24
+#: Bytes of a piece encoded at once, how far windows of a longer one overlap, seams tried for each.
+WINDOW, OVERLAP, SEAMS = 512, 128, 12
 #: Pieces remembered between batches of a worker.
 CACHE_PIECES = 300_000
 
@@ -78,6 +80,7 @@ class PieceEncoder:
         self.con.register("merges_in", merges)
         self.con.execute("create table merges as select l::int l, r::int r, rank::int rank, id::int id from merges_in")
         self.con.unregister("merges_in")
+        self.names = {i: name for name, i in vocab.items()}
         self.vocab = pa.table({"id": pa.array(list(vocab.values()), pa.int32()), "piece": list(vocab.keys())})
         self.con.register("vocab", self.vocab)
         self.splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
@@ -89,8 +92,8 @@ class PieceEncoder:
             text = self.normalizer.normalize_str(text)
         return [piece for piece, _ in self.splitter.pre_tokenize_str(text)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Put the ids of distinct new ``pieces`` into the cache."""
+    def contract(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each of ``pieces``, by the recursive query until nothing merges."""
         state = [[self.byte_ids[c] for c in piece] for piece in pieces]
         active = list(range(len(pieces)))
         while active:
@@ -110,7 +113,49 @@ class PieceEncoder:
                 state[piece] = ids
                 if turn >= ROUND:
                     active.append(piece)
-        self.cache.update(zip(pieces, state))
+        return state
+
+    def contract_long(self, piece: str) -> list[int]:
+        """Ids of one very long piece, from overlapping windows.
+
+        A sequence of tokens is the encoding of its text exactly if every two neighbours are
+        the encoding of theirs. Neighbours inside a window are; at a seam the two tokens are
+        encoded together to see. Where no seam of an overlap holds, the whole piece is
+        contracted at once.
+        """
+        starts = list(range(0, max(1, len(piece) - OVERLAP), WINDOW - OVERLAP))
+        windows = self.contract([piece[s : s + WINDOW] for s in starts])
+        ends = []
+        for start, ids in zip(starts, windows):
+            at, bounds = start, {}
+            for k, i in enumerate(ids):
+                bounds[at] = k
+                at += len(self.names[i])
+            ends.append(bounds)
+        seams = []
+        for w in range(1, len(starts)):
+            middle = starts[w] + OVERLAP // 2
+            both = sorted((c for c in ends[w] if c in ends[w - 1] and ends[w][c] and ends[w - 1][c]), key=lambda c: abs(c - middle))
+            seams.append(both[:SEAMS])
+        tries = {(w, c): (windows[w][ends[w][c] - 1], windows[w + 1][ends[w + 1][c]]) for w, cuts in enumerate(seams) for c in cuts}
+        pairs = list(dict.fromkeys(tries.values()))
+        sound = {p for p, ids in zip(pairs, self.contract([self.names[a] + self.names[b] for a, b in pairs])) if ids == list(p)}
+        out, low = [], 0
+        for w, cuts in enumerate(seams):
+            cut = next((c for c in cuts if tries[w, c] in sound), None)
+            if cut is None:
+                return self.contract([piece])[0]
+            out += windows[w][low : ends[w][cut]]
+            low = ends[w + 1][cut]
+        return out + windows[-1][low:]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Put the ids of distinct new ``pieces`` into the cache."""
+        short = [p for p in pieces if len(p) <= WINDOW]
+        self.cache.update(zip(short, self.contract(short)))
+        for piece in pieces:
+            if len(piece) > WINDOW:
+                self.cache[piece] = self.contract_long(piece)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.split(t) if t else [] for t in texts]

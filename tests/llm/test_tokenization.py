@@ -40,7 +40,8 @@ def test_random_texts(public):
 def test_very_long_piece_and_text(public):
     rng = random.Random(3)
     long_piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000))
-    texts = [long_piece, "ab" * 5000, "word and number 42. " * 5000]
+    mixed = "".join(rng.choice(["the", "ing", "x", "qz", "ation", "éü", "aaaa"]) for _ in range(30_000))
+    texts = [long_piece, mixed, "=" * 100_001, "-=" * 3001, " " * 70_000, "ha" * 777 + "h" * 5000, "word and number 42. " * 5000]
     assert encoder(PATH).encode(texts) == [public(t) for t in texts]
 
 
