@@ -22,6 +22,8 @@ LEVELS = (1, 2, 3, 4, 5)
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 MIN_WORDS = 3
+#: Labelled rows the models are fitted on at most: the first by hash of key and level.
+TRAIN_ROWS = 200_000
 
 _FENCE = r"(?s)```.*?(```|\z)|~~~.*?(~~~|\z)"
 #: Lines that are no prose: indented code, data, log lines, diffs, tables, rules, headings.
@@ -61,14 +63,16 @@ class LevelModel:
         return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
 
 
-def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", level: str = "reading_level") -> LevelModel:
-    """Models from every label of every labelled document.
+def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", level: str = "reading_level", train_rows: int = TRAIN_ROWS) -> LevelModel:
+    """Models from the labels, all of them up to ``train_rows``.
 
     Labels outside LEVELS, null ones and those of unknown documents are left out; several
-    labels of a document all count. Without any label all levels are alike. At most
+    labels of a document all count. Without any label all levels are alike. The bound on the
+    labels makes them safe to broadcast, so that no text is shuffled to meet its label; at most
     BUCKETS * len(LEVELS) counts reach the driver, however large the corpus.
     """
-    rated = labels.filter(F.col(level).isin(*LEVELS)).select(F.col(key).alias("_lid"), F.col(level).cast("int").alias("_level"))
+    rated = labels.filter(F.col(level).isin(*LEVELS)).select(F.col(key).alias("_lid"), F.col(level).cast("int").alias("_level")).filter("_lid is not null")
+    rated = F.broadcast(rated.orderBy(F.xxhash64("_lid", "_level"), "_lid", "_level").limit(train_rows))
     known = spread(documents.select(key, text)).join(rated, F.col(key) == F.col("_lid")).select(F.struct(F.col("_lid"), F.col("_level")).alias("_both"), F.col(text).alias("_t"))
     bags = _bucketed(known, "_both", "_t").filter(F.size("_w") >= MIN_WORDS)
     counted = bags.select(F.col("_id._level").alias("level"), F.explode(F.concat("_w", F.array(F.lit(-1)))).alias("bucket")).groupBy("level", "bucket").count()
