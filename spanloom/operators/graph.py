@@ -24,7 +24,7 @@ UTILITY_FAN_IN = 10
 
 def edges_once(edges: DataFrame) -> DataFrame:
     """One row per edge identity (source, target, type, evidence, file, line): the first by id."""
-    best = edges.groupBy("src_node_id", "dst_node_id", "type", "evidence_kind", F.coalesce("file_id", F.lit(-1)).alias("_f"), F.coalesce("line", F.lit(-1)).alias("_l")).agg(F.min_by(F.struct("*"), F.col("edge_id")).alias("_e"))
+    best = edges.groupBy("src_node_id", "dst_node_id", "type", "evidence_kind", F.coalesce("file_id", F.lit(-1)).alias("_f"), F.coalesce("line", F.lit(-1)).alias("_l")).agg(F.min_by(F.struct("*"), F.struct("edge_id")).alias("_e"))
     return best.select("_e.*")
 
 

@@ -11,7 +11,7 @@ from spanloom.operators.hierarchy import hierarchy
 
 def once(spans: DataFrame) -> DataFrame:
     """One row per (trace_id, span_id): the delivery received first."""
-    return spans.groupBy("trace_id", "span_id").agg(F.min_by(F.struct(*(c for c in spans.columns if c not in ("trace_id", "span_id"))), F.col("received_at")).alias("_s")).select("trace_id", "span_id", "_s.*")
+    return spans.groupBy("trace_id", "span_id").agg(F.min_by(F.struct(*(c for c in spans.columns if c not in ("trace_id", "span_id"))), F.struct(F.col("received_at").isNull(), F.col("received_at"))).alias("_s")).select("trace_id", "span_id", "_s.*")
 
 
 def tail_sample(spans: DataFrame, rate: float) -> DataFrame:

@@ -14,7 +14,7 @@ from spanloom.operators import traces as TR
 from spanloom.operators.intervals import containing
 from spanloom.session import shared_dir
 from spanloom.queries.common import EDGES_SQL, RANK_SQL, read
-from spanloom.streaming.sampler import service_sessions, traffic_windows
+from spanloom.streaming.sampler import service_sessions, tail_sample_stream, traffic_windows
 
 SAMPLE_RATE, ERRORED_LIMIT, REACH_DEPTH = 0.1, 20, 3
 
@@ -120,6 +120,13 @@ def stream_windows(spark, d):
     return _run_stream(traffic_windows(once, "6 hours", delay="3650 days"), "complete").select(_plain("window_start"), "service_name", "http_route", "n_spans", "n_errors", "duration_us")
 
 
+def stream_tail_sample(spark, d):
+    """Whole-trace sampling as a stream with keyed state; equals the batch sampler."""
+    columns = ["trace_id", "span_id", "parent_span_id", "status"]
+    kept = _run_stream(tail_sample_stream(_span_stream(spark, d).select(*columns), SAMPLE_RATE, 0), "append")
+    return kept.select("trace_id", "span_id", "status").distinct()
+
+
 def _plain(column):
     return F.col(column).cast("timestamp_ntz").alias(column)
 
@@ -241,7 +248,7 @@ def error_correlation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        span_dedupe, span_group_max, client_parent_pairs, path_normalise, template_match, promote_routes, promotion_report, promote_edges, touch_forward_only, errored_traces_topk, trace_root_cause, tail_sample, stream_windows, window_tumbling, window_sliding, window_session,
+        span_dedupe, span_group_max, client_parent_pairs, path_normalise, template_match, promote_routes, promotion_report, promote_edges, touch_forward_only, errored_traces_topk, trace_root_cause, tail_sample, stream_windows, stream_tail_sample, window_tumbling, window_sliding, window_session,
         ordered_chain, read_chain, coverage_matrix, coverage_rollup, check_kind_lookup, blind_spots, write_span_join, security_path, write_without_check, route_listing, error_surface, error_correlation,
     )
 }
@@ -354,3 +361,4 @@ ORACLE = {
 }
 
 ORACLE["stream_windows"] = ORACLE["window_tumbling"]
+ORACLE["stream_tail_sample"] = ORACLE["tail_sample"]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TRACE_TIMEOUT_MS = 30_000
 SAMPLE_RATE = 0.01
@@ -27,57 +27,44 @@ def keeps(trace_id: str, errored: bool, rate: float) -> bool:
     return errored or rate >= 1 or rate > 0 and fnv1a(trace_id) % 10_000 / 10_000 < rate
 
 
-class TailSampler(StatefulProcessor):
+def _sampler(columns: list[str], rate: float, timeout_ms: int):
     """Buffers a trace until its root arrives or its time is up, then keeps or drops it whole.
 
-    State is one list of spans and one flag per undecided trace; it is cleared at the
-    decision, so a span that comes later opens a trace of its own and is decided alone.
+    State holds the undecided spans of one trace and goes at the decision, so a span that
+    comes later opens a trace of its own and is decided alone. A timeout of 0 decides on what
+    each batch brings, for the last batch before a shutdown.
     """
 
-    def __init__(self, schema: T.StructType, rate: float, timeout_ms: int, decide_on_root: bool = True):
-        self.schema, self.rate, self.timeout_ms, self.decide_on_root = schema, rate, timeout_ms, decide_on_root
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.spans = handle.getListState("spans", self.schema)
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("errored", T.BooleanType()), T.StructField("rooted", T.BooleanType())]))
-
-    def _decide(self, key: tuple, errored: bool) -> Iterator[pd.DataFrame]:
-        kept = list(self.spans.get()) if keeps(key[0], errored, self.rate) else []
-        self.spans.clear()
-        self.seen.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if kept:
-            yield pd.DataFrame(kept, columns=self.schema.names)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        errored, rooted = self.seen.get() if self.seen.exists() else (False, False)
-        first = not self.seen.exists()
-        for part in rows:
-            part = part.astype(object).where(part.notna(), None)
-            errored = errored or bool((part["status"] == "error").any())
-            rooted = rooted or bool(part["parent_span_id"].isna().any() or (part["parent_span_id"] == "").any())
-            self.spans.appendList([tuple(r) for r in part[self.schema.names].itertuples(index=False)])
-        if rooted and self.decide_on_root:
-            yield from self._decide(key, errored)
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else []
+        if not state.hasTimedOut:
+            for part in batches:
+                held += part[columns].astype(object).where(part[columns].notna(), None).values.tolist()
+        status, parent = columns.index("status"), columns.index("parent_span_id")
+        rooted = any(row[parent] in (None, "") for row in held)
+        if not (rooted or state.hasTimedOut or timeout_ms <= 0):
+            waited = state.exists
+            state.update((pickle.dumps(held),))
+            if not waited:
+                state.setTimeoutDuration(timeout_ms)
             return
-        self.seen.update((errored, rooted))
-        if first:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        if state.exists:
+            state.remove()
+        if held and keeps(key[0], any(row[status] == "error" for row in held), rate):
+            yield pd.DataFrame(held, columns=columns)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        errored = self.seen.get()[0] if self.seen.exists() else False
-        yield from self._decide(key, errored)
-
-    def close(self) -> None:
-        pass
+    return decide
 
 
 def tail_sample_stream(spans: DataFrame, rate: float = SAMPLE_RATE, timeout_ms: int = TRACE_TIMEOUT_MS) -> DataFrame:
-    """Sampled stream of ``spans``; needs the RocksDB state store, which survives restarts."""
-    processor = TailSampler(spans.schema, rate, timeout_ms)
-    return spans.groupBy("trace_id").transformWithStateInPandas(processor, outputStructType=spans.schema, outputMode="Append", timeMode="ProcessingTime")
+    """Sampled stream of ``spans``; state is fault tolerant, in whichever store the session names.
+
+    With a timeout the query wakes up for timers, so it runs until it is stopped; one that is
+    to end with its input takes a timeout of 0, or no batches without data.
+    """
+    decide = _sampler(spans.columns, rate, timeout_ms)
+    timer = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms > 0 else GroupStateTimeout.NoTimeout
+    return spans.groupBy("trace_id").applyInPandasWithState(decide, spans.schema, "held binary", "append", timer)
 
 
 def deliver_once(spans: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
