@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from spanloom.session import stage
 
 #: Rows of one tree beyond which its joins run distributed.
-GIANT_ROWS = 500_000
+GIANT_ROWS = 1_000_000
 #: Rows that grow together in one run, and path elements emitted at once.
 RUN_ROWS, RUN_PATH = 150_000, 1_500_000
 SALTS = 16

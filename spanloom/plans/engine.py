@@ -58,7 +58,10 @@ class Engine:
 
         if name in self.tables:
             return self.tables[name]
-        return self.spark.createDataFrame([], TABLES[name].schema)
+        return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].schema))
+
+    def _ids(self, name: str, values: list[int]) -> DataFrame:
+        return self.spark.range(1).select(F.explode(F.array(*(F.lit(v).cast("long") for v in values))).alias(name))
 
     # Seeds
 
@@ -107,7 +110,7 @@ class Engine:
         frontier, seen = [first], [first]
         chains, steps = [], []
         while frontier:
-            ids = self.spark.createDataFrame([(i,) for i in frontier], "node_id long")
+            ids = self._ids("node_id", frontier)
             chain = self.chain(ids)
             chains.append(chain)
             anonymous = F.col("name").isNull() & F.col("line").isNotNull() & F.col("end_line").isNotNull()
@@ -140,7 +143,7 @@ class Engine:
         """
         edges, nodes = G.edges_once(self.table("edges")), self.table("nodes")
         node, how = self.seed(seed) if isinstance(seed, str) else (seed, "id")
-        seeds = self.spark.createDataFrame([(node,)], "seed long")
+        seeds = self._ids("seed", [node])
         spaces = nodes.filter("kind = 'symbol'").filter(S.symbol_kind(F.col("key")) == "namespace").select("node_id")
         closure = G.closure(edges, seeds, G.IMPACT_TYPES, True, max_depth, spaces)
         routes = self.impacted_routes(closure.unionByName(seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.lit("certain").alias("path_confidence"))))
@@ -189,7 +192,7 @@ class Engine:
         from spanloom.operators.cfg import guards
 
         node = self.route(service, method, url)
-        chain = self.chain(self.spark.createDataFrame([(node,)], "node_id long"))
+        chain = self.chain(self._ids("node_id", [node]))
         symbols = self.table("nodes").filter("kind = 'symbol'").select("node_id")
         reached = G.reach(self.table("edges"), chain.filter("symbol_node_id is not null").select(F.col("route_node_id").alias("seed"), F.col("symbol_node_id").alias("node_id")), G.REACH_TYPES, max_depth, symbols).select("node_id").distinct()
         surface = guards(self.table("function_cfg").join(reached.select(F.col("node_id").alias("symbol_node_id")), "symbol_node_id", "left_semi"))
@@ -208,7 +211,7 @@ class Engine:
     def context_pack(self, seed: str, budget: int = CX.BUDGET) -> Answer:
         """tiers, what was packed of them, and the gaps that are always included."""
         node, how = self.seed(seed)
-        seeds = self.spark.createDataFrame([(node,)], "seed long")
+        seeds = self._ids("seed", [node])
         gaps = self.table("unresolved_calls").filter(F.col("src_node_id") == node)
         reserved = gaps.agg(F.coalesce(F.sum(F.ceil(F.length(F.concat_ws(" ", "kind", "target_hint", "reason")) / 4)), F.lit(0)).cast("long")).first()[0]
         rows = CX.tiers(self.table("nodes"), G.edges_once(self.table("edges")), self.table("function_cfg"), seeds)

@@ -15,6 +15,10 @@ def spark(tmp_path_factory):
         **{
             "spark.master": "local[4]",
             "spark.sql.shuffle.partitions": "4",
+            # Tiny inputs: interpreted plans beat compiling each of them.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+            "spark.sql.adaptive.enabled": "false",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),

@@ -1,4 +1,6 @@
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanloom.operators.graph import closure, walk
 from spanloom.plans import render
@@ -36,7 +38,12 @@ class Facts:
         self.rows["route_chain"].append((route, position, phase, symbol, None, name, None, origin, None, confidence, evidence, 1, line, end, None, 1))
 
     def engine(self):
-        return Engine({t: self.spark.createDataFrame(r, TABLES[t].schema) for t, r in self.rows.items()})
+        tables = {}
+        for name, rows in self.rows.items():
+            schema = to_arrow_schema(TABLES[name].schema)
+            columns = zip(*rows) if rows else [[]] * len(schema)
+            tables[name] = self.spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema))
+        return Engine(tables)
 
 
 @pytest.fixture
