@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -49,8 +50,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if not _STAGED:
+        atexit.register(_drop_at_exit, spark)
     _STAGED.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +68,13 @@ def drop_stages(spark: SparkSession) -> int:
     return n
 
 
+def _drop_at_exit(spark: SparkSession) -> None:
+    try:
+        drop_stages(spark)
+    except Exception:  # the session ended first; its folder goes with it or stays
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,7 +82,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on at least as many partitions as there are cores, for work heavy on each row.
 
-    Only inputs with fewer partitions than that, such as one small file, are shuffled.
+    Only scans with fewer partitions than that, such as one small file, are shuffled; a plan
+    that shuffles already is left to itself, as asking for its partitions would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
