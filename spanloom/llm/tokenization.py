@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -39,6 +40,9 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
+#: The byte-level splitter on ASCII, where no version of Unicode can disagree; white space spelt out.
+_ASCII_PIECES = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
+
 _STEP = """
   with recursive step(turn, piece, pos, tok) as (
     select 0, piece, pos, tok from active
@@ -74,7 +78,9 @@ class PieceEncoder:
             model = json.load(file)["model"]
         vocab = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.byte_ids = {c: vocab[c] for c in byte_alphabet()}
+        alphabet = byte_alphabet()
+        # ASCII bytes also by their own character: pieces of ASCII texts are used as they are.
+        self.byte_ids = {chr(b): vocab[alphabet[b]] for b in range(128)} | {c: vocab[c] for c in alphabet}
         self.con = duckdb.connect(config={"threads": "1"})
         merges = pa.table({"l": [vocab[a] for a, _ in pairs], "r": [vocab[b] for _, b in pairs], "rank": range(len(pairs)), "id": [vocab[a + b] for a, b in pairs]})
         self.con.register("merges_in", merges)
@@ -90,6 +96,8 @@ class PieceEncoder:
     def split(self, text: str) -> list[str]:
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
+        if text.isascii():
+            return _ASCII_PIECES.findall(text)
         return [piece for piece, _ in self.splitter.pre_tokenize_str(text)]
 
     def contract(self, pieces: list[str]) -> list[list[int]]:

@@ -37,6 +37,12 @@ def test_random_texts(public):
     assert encoder(PATH).encode(texts) == [public(t) for t in texts]
 
 
+def test_random_ascii_texts(public):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice([" ", "  ", "\n", "\r\n", "\t", "\x0b", "\x0c", "\x1c", "\x1f", "\x00", "\x7f", "'s", "'ll", "'", "aB", "9", "007", "_", "=>", "don't"]) for _ in range(60)) for _ in range(400)]
+    assert encoder(PATH).encode(texts) == [public(t) for t in texts]
+
+
 def test_very_long_piece_and_text(public):
     rng = random.Random(3)
     long_piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6000))
