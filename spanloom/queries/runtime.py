@@ -17,6 +17,7 @@ from spanloom.queries.common import EDGES_SQL, RANK_SQL, read
 from spanloom.streaming.sampler import service_sessions, tail_sample_stream, traffic_windows
 
 SAMPLE_RATE, ERRORED_LIMIT, REACH_DEPTH = 0.1, 20, 3
+# REACH_DEPTH is that of the SQL below only: the queries reach to G.MAX_DEPTH.
 
 
 def span_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +193,7 @@ def _writes(spark, d):
     nodes, edges = read(spark, d, "nodes"), read(spark, d, "edges")
     symbols = nodes.filter("kind = 'symbol'").select("node_id")
     seeds = _chain(spark, d).filter("symbol_node_id is not null").select(F.col("route_node_id").alias("seed"), F.col("symbol_node_id").alias("node_id"))
-    reached = G.reach(edges, seeds, G.REACH_TYPES, REACH_DEPTH, symbols)
+    reached = G.reach(edges, seeds, G.REACH_TYPES, expand=symbols)
     stores = nodes.filter("kind = 'datastore'").select(F.col("node_id").alias("dst_node_id"), F.col("key").alias("datastore"))
     writes = edges.filter("type = 'WRITES'").join(stores, "dst_node_id").select(F.col("src_node_id").alias("node_id"), "datastore").distinct()
     return reached.join(writes, "node_id").select(F.col("seed").alias("route_node_id"), "datastore").distinct()
@@ -230,7 +231,7 @@ def error_surface(spark, d):
     """Error exits and thrown errors of the functions each route reaches, per route."""
     symbols = read(spark, d, "nodes").filter("kind = 'symbol'").select("node_id")
     seeds = _chain(spark, d).filter("symbol_node_id is not null").select(F.col("route_node_id").alias("seed"), F.col("symbol_node_id").alias("node_id"))
-    reached = G.reach(read(spark, d, "edges"), seeds, G.REACH_TYPES, REACH_DEPTH, symbols)
+    reached = G.reach(read(spark, d, "edges"), seeds, G.REACH_TYPES, expand=symbols)
     exits = read(spark, d, "function_cfg").filter("outcome = 'error_exit'").groupBy(F.col("symbol_node_id").alias("node_id")).agg(F.count("*").alias("exits"), F.collect_set("start_line").alias("lines"))
     throws = G.edges_once(read(spark, d, "edges")).filter("type = 'THROWS'").select(F.col("src_node_id").alias("node_id"), "line")
     # A throw on a line that control flow already reports is that exit, not another.
