@@ -13,6 +13,7 @@ from spanloom.operators import graph as G
 from spanloom.operators.intervals import innermost, overlapping
 from spanloom.queries.common import EDGES_SQL, NAME_SQL, RANK_SQL, read
 
+# Depths of the SQL below only: the queries go to G.MAX_DEPTH.
 WALK_DEPTH, IMPACT_DEPTH, REACH_DEPTH = 3, 4, 3
 
 
@@ -68,7 +69,7 @@ def shared_nodes(spark, d):
 
 
 def reverse_closure(spark, d):
-    return G.closure(_edges(spark, d), _hub(spark, d), G.IMPACT_TYPES, True, IMPACT_DEPTH)
+    return G.closure(_edges(spark, d), _hub(spark, d), G.IMPACT_TYPES)
 
 
 def _chain_seeds(spark, d):
@@ -78,7 +79,7 @@ def _chain_seeds(spark, d):
 def reachable_per_route(spark, d):
     """Reachability of every route at once, as sizes."""
     symbols = read(spark, d, "nodes").filter("kind = 'symbol'").select("node_id")
-    found = G.reach(read(spark, d, "edges"), _chain_seeds(spark, d), G.REACH_TYPES, REACH_DEPTH, symbols)
+    found = G.reach(read(spark, d, "edges"), _chain_seeds(spark, d), G.REACH_TYPES, expand=symbols)
     return found.groupBy("seed").agg(F.count("*").alias("n_reached"), F.sum("node_id").alias("id_sum"))
 
 
@@ -91,7 +92,7 @@ def walk_forward(spark, d):
     chain = read(spark, d, "route_chain").join(_first_route(spark, d), "route_node_id", "left_semi").filter("symbol_node_id is not null")
     anonymous = F.col("name").isNull() & F.col("line").isNotNull() & F.col("end_line").isNotNull()
     seeds = chain.select(F.concat_ws(":", "position", "phase").alias("position"), F.col("symbol_node_id").alias("node_id"), F.when(anonymous, F.col("line")).alias("low"), F.when(anonymous, F.col("end_line")).alias("high")).distinct()
-    rows = G.walk(_edges(spark, d), read(spark, d, "nodes"), seeds, WALK_DEPTH)
+    rows = G.walk(_edges(spark, d), read(spark, d, "nodes"), seeds)
     return rows.select("position", F.array_join(F.col("edge_path").cast("array<string>"), ">").alias("edges"), "node_id", "depth", "type", "line", "path_confidence", "cycle", "truncated")
 
 

@@ -3,7 +3,7 @@
 import pytest
 from test_engine import Facts
 
-from spanloom.queries import runtime
+from spanloom.queries import graph, runtime
 
 LENGTH = 6
 
@@ -33,3 +33,14 @@ def test_throw_six_calls_down_is_surfaced(spark, long_chain, rows):
     long_chain.save()
     assert rows(runtime.error_surface(spark, long_chain.folder)) == [(long_chain.first, 0, 1)]
     assert rows(runtime.error_correlation(spark, long_chain.folder), "url", "n_static") == [("/p", 1)]
+
+
+def test_graph_queries_see_the_whole_chain(spark, long_chain, rows):
+    long_chain.edge(long_chain.fn("second"), long_chain.calls[-1])
+    long_chain.save()
+    d, calls = long_chain.folder, long_chain.calls
+    assert rows(graph.reachable_per_route(spark, d)) == [(long_chain.first, LENGTH + 1, sum(calls))]
+    # The last function has two callers, so it is the hub.
+    assert (calls[0], LENGTH) in rows(graph.reverse_closure(spark, d), "node_id", "depth")
+    assert max(r.depth for r in graph.shortest_confidence(spark, d).collect()) == LENGTH
+    assert max(r.depth for r in graph.walk_forward(spark, d).collect()) == LENGTH + 1
