@@ -8,6 +8,8 @@ plans stay one level deep however far the walk goes.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,20 +97,20 @@ def walk(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int =
     return rows.select("position", "path", "edge_path", "node_id", "depth", "type", "line", name_of(F.col("_rank")).alias("path_confidence"), cycle.alias("cycle"), ((F.col("depth") == max_depth) & F.col("_x").isNotNull() & ~cycle).alias("truncated"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, types: list[str], reverse: bool = True, max_depth: int = MAX_DEPTH, stop: DataFrame | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, types: list[str], reverse: bool = True, max_depth: int | None = MAX_DEPTH, stop: DataFrame | None = None) -> DataFrame:
     """(seed, node_id, depth, path_confidence) of all nodes linked to each seed.
 
     depth is that of the shortest path; path_confidence is the weakest edge of a shortest
     path, the surest of them. With ``reverse`` edges are followed from target to source.
     Nodes of ``stop`` are reached but not left, unless they are the seed. A seed that lies on
-    a loop is a row of its own closure.
+    a loop is a row of its own closure. Without ``max_depth`` it ends when no node is new.
     """
     at, to = ("dst_node_id", "src_node_id") if reverse else ("src_node_id", "dst_node_id")
     links = edges.filter(F.col("type").isin(*types)).groupBy(F.col(at).alias("_at"), F.col(to).alias("_to")).agg(F.max(rank(F.col("confidence"))).alias("_r"))
     links = stage(links.filter("_at is not null and _to is not null"), "closure-links")
     frontier = stage(seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.lit(3).alias("_rank")).distinct(), "closure-level")
     known: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         source = frontier
         if stop is not None and depth > 1:
             source = source.join(stop.select(F.col("node_id").alias("_stop")), F.col("node_id") == F.col("_stop"), "left_anti")

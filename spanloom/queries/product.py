@@ -10,6 +10,7 @@ from spanloom.plans.engine import Engine
 from spanloom.queries.common import EDGES_SQL, RANK_SQL, read
 from spanloom.queries.graph import _CLOSURE, _hub, _ranges
 
+# Depths of the SQL below only: the queries go to G.MAX_DEPTH, over routes to the end.
 LINK_DEPTH, ROUTE_DEPTH, IMPACT_DEPTH = 2, 4, 4
 _TABLES = ("nodes", "edges", "routes", "route_chain", "function_cfg")
 
@@ -19,27 +20,29 @@ def _engine(spark: SparkSession, d: str) -> Engine:
 
 
 def route_links(spark: SparkSession, d: str) -> DataFrame:
-    """(route, remote route) for every route whose chain leads to another within LINK_DEPTH links."""
+    """(route, remote route) for every route whose chain leads to another within MAX_DEPTH links."""
     nodes = read(spark, d, "nodes")
     symbols = nodes.filter("kind = 'symbol'").select("node_id")
     seeds = read(spark, d, "route_chain").filter("symbol_node_id is not null").select(F.col("route_node_id").alias("seed"), F.col("symbol_node_id").alias("node_id"))
-    found = G.reach(read(spark, d, "edges"), seeds, G.FLOW_TYPES, LINK_DEPTH, symbols)
     routes = nodes.filter("kind = 'route'").select("node_id")
+    # Other kinds are never left and never asked for.
+    edges = read(spark, d, "edges").join(symbols.unionByName(routes).withColumnRenamed("node_id", "dst_node_id"), "dst_node_id", "left_semi")
+    found = G.reach(edges, seeds, G.FLOW_TYPES, expand=symbols)
     return found.join(routes, "node_id", "left_semi").filter("node_id <> seed").select(F.col("seed").alias("route_node_id"), F.col("node_id").alias("remote_node_id"))
 
 
 def remote_routes(spark, d):
-    """Routes the first route leads to, over any number of services up to ROUTE_DEPTH."""
+    """Routes the first route leads to, over any number of services."""
     links = route_links(spark, d).select(F.col("route_node_id").alias("src_node_id"), F.col("remote_node_id").alias("dst_node_id"), F.lit("LEADS").alias("type"), F.lit("inferred").alias("confidence"))
     first = read(spark, d, "route_chain").filter("symbol_node_id is not null").agg(F.min("route_node_id").alias("seed"))
-    return G.closure(links, first, ["LEADS"], False, ROUTE_DEPTH).select("seed", "node_id", "depth")
+    return G.closure(links, first, ["LEADS"], False, None).select("seed", "node_id", "depth")
 
 
 def impact_routes(spark, d):
     """Routes a change of the hub can break, by the surest evidence."""
     engine = _engine(spark, d)
     hub = _hub(spark, d)
-    closure = G.closure(G.edges_once(engine.table("edges")), hub, G.IMPACT_TYPES, True, IMPACT_DEPTH)
+    closure = G.closure(G.edges_once(engine.table("edges")), hub, G.IMPACT_TYPES)
     own = hub.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.lit("certain").alias("path_confidence"))
     return engine.impacted_routes(closure.unionByName(own)).select("node_id", "service_name", "method", "url", "bucket")
 
@@ -49,7 +52,7 @@ def pr_routes(spark, d):
     engine = _engine(spark, d)
     hunks = read(spark, d, "route_chain").filter("phase = 'handler_inline' and file_id is not null and line is not null").select(F.col("file_id").cast("string").alias("file"), F.col("line").alias("first"), F.coalesce("end_line", "line").alias("last")).distinct()
     symbols = _ranges(spark, d).select(F.col("file_id").cast("string").alias("path"), F.col("symbol_node_id").alias("node_id"), F.lit("method").alias("symbol_kind"), "start_line", "end_line")
-    return engine.pr_impact(hunks, symbols, 2)["routes"].select("node_id", "service_name", "method", "url", "bucket", "n_seeds")
+    return engine.pr_impact(hunks, symbols)["routes"].select("node_id", "service_name", "method", "url", "bucket", "n_seeds")
 
 
 QUERIES = {f.__name__: f for f in (route_links, remote_routes, impact_routes, pr_routes)}

@@ -3,7 +3,7 @@
 import pytest
 from test_engine import Facts
 
-from spanloom.queries import graph, runtime
+from spanloom.queries import graph, product, runtime
 
 LENGTH = 6
 
@@ -44,3 +44,23 @@ def test_graph_queries_see_the_whole_chain(spark, long_chain, rows):
     assert (calls[0], LENGTH) in rows(graph.reverse_closure(spark, d), "node_id", "depth")
     assert max(r.depth for r in graph.shortest_confidence(spark, d).collect()) == LENGTH
     assert max(r.depth for r in graph.walk_forward(spark, d).collect()) == LENGTH + 1
+
+
+def test_product_queries_follow_far_links_and_routes(spark, long_chain, rows):
+    last, hops = long_chain.calls[-1], []
+    for i in range(6):
+        hops.append(long_chain.route("far", "GET", f"/{i}"))
+        long_chain.edge(last, hops[-1], "REQUESTS")
+        last = long_chain.fn(f"far{i}")
+        long_chain.chain(hops[-1], 0, last)
+    long_chain.edge(long_chain.fn("second"), long_chain.calls[-1])
+    long_chain.edge(long_chain.fn("third"), long_chain.calls[-1])
+    long_chain.rows["function_cfg"].append((long_chain.calls[-1], 0, None, "root", None, None, None, None, 90, 99, 1, 1))
+    long_chain.chain(hops[0], 1, None, phase="handler_inline", line=91, end=92)
+    long_chain.save()
+    d = long_chain.folder
+    assert (long_chain.first, hops[0]) in rows(product.route_links(spark, d))
+    assert rows(product.remote_routes(spark, d), "node_id", "depth") == [(h, i + 1) for i, h in enumerate(hops)]
+    # A change six calls below the first route's handler.
+    assert long_chain.first in [r.node_id for r in product.impact_routes(spark, d).collect()]
+    assert long_chain.first in [r.node_id for r in product.pr_routes(spark, d).collect()]
