@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import tokens
@@ -10,6 +12,8 @@ from spanloom.functions.vectors import cosine, norm
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Rows of a block of vectors or queries: a block of scores has its square.
+BLOCK = 2048
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,6 +55,43 @@ def vector_top_k(vectors: DataFrame, key: str, vector: str, query: list[float],
     return scored.filter("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
+def vector_top_k_batch(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(query_id, key, score): for each row of ``queries`` the ``k`` rows of ``vectors`` nearest to it.
+
+    As ``vector_top_k``, for any number of queries: blocks of vectors meet blocks of queries
+    in one matrix product each, which keeps k rows a query; the best of these stay.
+    """
+    n_vectors, n_queries = (max(1, -(-df.count() // block)) for df in (vectors, queries))
+    place = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    left = vectors.filter(whole).select(key, vector, place(n_vectors).alias("_v"), each(n_queries).alias("_q"))
+    right = queries.filter(whole).select(key, vector, place(n_queries).alias("_q"), each(n_vectors).alias("_v"))
+
+    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.array(table.column(vector).to_pylist(), dtype=np.float64)  # vectors of unlike dimension raise
+        return rows, np.sqrt((rows * rows).sum(axis=1))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        a = a.sort_by(key)  # a stable sort by score then breaks ties by key
+        at = owner = np.zeros(0, dtype=np.int64)
+        top = np.zeros(0)
+        if a.num_rows and b.num_rows:
+            (x, x_norm), (y, y_norm) = matrix(a), matrix(b)
+            scale = np.outer(y_norm, x_norm)
+            score = np.divide(y @ x.T, scale, out=np.zeros_like(scale), where=scale != 0)
+            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            owner, at = np.repeat(np.arange(len(y)), order.shape[1]), order.ravel()
+            top = score[owner, at]
+            owner, at, top = owner[top > 0], at[top > 0], top[top > 0]
+        return pa.table({"query_id": b.column(key).take(pa.array(owner)), key: a.column(key).take(pa.array(at)), "score": pa.array(top)})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    found = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInArrow(best, f"query_id {kind}, {key} {kind}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return found.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k).drop("_at")
+
+
 def reciprocal_rank_fusion(ranks: DataFrame, group: list[str], item: str, rank: str, k: int = RRF_K) -> DataFrame:
     """(group, item, score, n_sources) from 1-based ranks, one row per (group, source, item)."""
     return ranks.groupBy(*group, item).agg(F.sum(1.0 / (k + F.col(rank))).alias("score"), F.count("*").alias("n_sources"))

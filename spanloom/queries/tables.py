@@ -151,6 +151,13 @@ def vector_topk(spark, d):
     return SE.vector_top_k(vectors, "vec_id", "embedding", query, TOP_K).select("vec_id", F.round("score", 5).alias("score"))
 
 
+def vector_topk_batch(spark, d):
+    """The nearest vectors of every hundredth vector, among all."""
+    vectors = read(spark, d, "embeddings")
+    found = SE.vector_top_k_batch(vectors, vectors.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding", TOP_K)
+    return found.select("query_id", "vec_id", F.round("score", 5).alias("score"))
+
+
 def rrf_fuse(spark, d):
     """Hits of every query fused over its builds by reciprocal rank."""
     builds = read(spark, d, "search_builds").select("build_id", "score_order")
@@ -221,7 +228,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         symbol_parse, key_builders, package_identity, node_upsert_first_wins, file_upsert_latest_wins, incremental_diff, provenance_delete, forget_deleted, replace_cfg, fk_audit, table_counts, language_histogram, status_classes, semconv_coalesce, sql_literal_read, token_estimate, clip_and_digest, phrase_tokens,
-        bm25_and, bm25_prefix, postings, vector_topk, rrf_fuse, search_docs_union, context_tiers, tier_budget_pack, cache_misses, diff_carry_forward, route_edges_graph, runs_per_channel,
+        bm25_and, bm25_prefix, postings, vector_topk, vector_topk_batch, rrf_fuse, search_docs_union, context_tiers, tier_budget_pack, cache_misses, diff_carry_forward, route_edges_graph, runs_per_channel,
     )
 }
 
@@ -296,6 +303,9 @@ ORACLE = {
     "vector_topk": f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), q as (select e as q from v order by vec_id limit 1),
       s as (select vec_id, case when sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)) = 0 then 0 else list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) end as score from v, q)
       select vec_id, round(score, 5) as score from s where score > 0 order by s.score desc, vec_id limit {TOP_K}""",
+    "vector_topk_batch": f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), q as (select vec_id as query_id, e as q from v where vec_id % 100 = 0),
+      s as (select query_id, vec_id, case when sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)) = 0 then 0 else list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) end as score from v, q)
+      select query_id, vec_id, round(score, 5) as score from s where score > 0 qualify row_number() over (partition by query_id order by s.score desc, vec_id) <= {TOP_K}""",
     "rrf_fuse": f"""with b as (select query_id, build_id, node_key, min(case when score_order = 'asc' then score else -score end) as v from search_hits join search_builds using (build_id) where score is not null and not isnan(score) group by 1, 2, 3),
       r as (select *, row_number() over (partition by query_id, build_id order by v, node_key) as k from b)
       select query_id, node_key, round(sum(1.0::double / ({SE.RRF_K} + k)), 9) as score, count(*) as n_sources from r group by 1, 2""",
