@@ -63,11 +63,12 @@ class LevelModel:
         return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
 
 
-def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", level: str = "reading_level", train_rows: int = TRAIN_ROWS) -> LevelModel:
+def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", level: str = "reading_level", train_rows: int = TRAIN_ROWS, seed: bool = False) -> LevelModel:
     """Models from the labels, all of them up to ``train_rows``.
 
     Labels outside LEVELS, null ones and those of unknown documents are left out; several
-    labels of a document all count. Without any label all levels are alike. The bound on the
+    labels of a document all count. Without any usable label all levels are alike, or with
+    ``seed`` the labels of ``formula_labels`` are taken. The bound on the
     labels makes them safe to broadcast, so that no text is shuffled to meet its label; at most
     BUCKETS * len(LEVELS) counts reach the driver, however large the corpus.
     """
@@ -82,6 +83,8 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             prior[row["level"] - LEVELS[0]] = row["count"]
         else:
             word[row["level"] - LEVELS[0], row["bucket"]] = row["count"]
+    if seed and not prior.any():
+        return train(documents, formula_labels(documents, key, text).withColumnRenamed("reading_level", level), key, text, level, train_rows)
     word += SMOOTHING
     prior += 1
     return LevelModel(np.log(word / word.sum(axis=1, keepdims=True)).astype(np.float32), np.log(prior / prior.sum()))
