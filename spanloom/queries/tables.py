@@ -21,6 +21,7 @@ from spanloom.schema import ENUMS, TABLES
 from spanloom.sources.text_inputs import hunks
 
 TERMS, PREFIX, TOP_K = ["service", "request"], ["conn"], 8
+# Of the SQL below only: the query packs into the operator's default budget.
 PACK_BUDGET = 60
 
 
@@ -189,7 +190,7 @@ def _seed(spark, d):
 def tier_budget_pack(spark, d):
     seeds = _seed(spark, d)
     rows = CX.tiers(read(spark, d, "nodes"), G.edges_once(read(spark, d, "edges")), read(spark, d, "function_cfg"), seeds)
-    return CX.pack(rows, seeds, PACK_BUDGET).select("tier", "n_items", "cost", "included")
+    return CX.pack(rows, seeds).select("tier", "n_items", "cost", "included")
 
 
 def cache_misses(spark, d):
