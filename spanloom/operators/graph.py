@@ -1,9 +1,9 @@
 """Graph traversal on edge tables: path enumeration, shortest closures, reachability.
 
 Two kernels. ``walk`` enumerates paths (every call site is its own branch) and is meant for
-few seeds. ``closure`` and ``reach`` keep one row per (seed, node): a level joins its
-frontier with the edges, and an anti join drops what is known. Every level is staged, so
-plans stay one level deep however far the walk goes.
+few seeds. ``closure`` and ``reach`` keep one row per (seed, node): a level is one join with
+the links and one aggregation. Levels are staged every few, so plans stay short however far
+the walk goes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.confidence import name_of, rank
-from spanloom.session import stage
+from spanloom.session import stage, stage_counting
 
 # The edge types each question follows; they differ on purpose.
 FLOW_TYPES = ["CALLS", "CALLS_EXTERNAL", "REQUESTS", "READS", "WRITES", "READS_CONFIG", "THROWS"]
@@ -22,6 +22,10 @@ IMPACT_TYPES = ["CALLS", "HANDLES", "REQUESTS"]
 REACH_TYPES = ["CALLS"]
 MAX_DEPTH = 12
 UTILITY_FAN_IN = 10
+#: Links of a node that one share of a join holds at most, about.
+HUB_LINKS = 100_000
+#: Levels of a closure that one job grows.
+STRIDE = 4
 
 
 def edges_once(edges: DataFrame) -> DataFrame:
@@ -107,43 +111,107 @@ def closure(edges: DataFrame, seeds: DataFrame, types: list[str], reverse: bool
     """
     at, to = ("dst_node_id", "src_node_id") if reverse else ("src_node_id", "dst_node_id")
     links = edges.filter(F.col("type").isin(*types)).groupBy(F.col(at).alias("_at"), F.col(to).alias("_to")).agg(F.max(rank(F.col("confidence"))).alias("_r"))
-    links = stage(links.filter("_at is not null and _to is not null"), "closure-links")
-    frontier = stage(seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.lit(3).alias("_rank")).distinct(), "closure-level")
-    known: DataFrame | None = None
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        source = frontier
-        if stop is not None and depth > 1:
-            source = source.join(stop.select(F.col("node_id").alias("_stop")), F.col("node_id") == F.col("_stop"), "left_anti")
-        grown = source.join(links, F.col("node_id") == F.col("_at")).groupBy("seed", F.col("_to").alias("node_id")).agg(F.lit(depth).alias("depth"), F.max(F.least("_rank", "_r")).alias("_rank"))
-        if known is not None:
-            grown = grown.join(known.select("seed", "node_id"), ["seed", "node_id"], "left_anti")
-        frontier = stage(grown, "closure-level")
-        if not frontier.take(1):
-            break
-        known = frontier if known is None else known.unionByName(frontier)
-    if known is None:
-        known = frontier
-    return known.select("seed", "node_id", "depth", name_of(F.col("_rank")).alias("path_confidence"))
+    start = seeds.select("seed", F.col("seed").alias("node_id"), F.lit(True).alias("_start"))
+    found = _grow(links.filter("_at is not null and _to is not null"), start, max_depth, stop).filter("not _start")
+    return found.select("seed", "node_id", _depth(F.col("_code")).alias("depth"), name_of(_rank(F.col("_code"))).alias("path_confidence"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, types: list[str], max_depth: int = MAX_DEPTH, expand: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, types: list[str], max_depth: int | None = MAX_DEPTH, expand: DataFrame | None = None) -> DataFrame:
     """(seed, node_id) of all nodes reached from the nodes of each seed, those included.
 
     ``seeds`` has (seed, node_id), many nodes each; only nodes of ``expand`` are left.
     """
-    links = edges.filter(F.col("type").isin(*types)).select(F.col("src_node_id").alias("_at"), F.col("dst_node_id").alias("_to")).distinct()
+    links = edges.filter(F.col("type").isin(*types)).select(F.col("src_node_id").alias("_at"), F.col("dst_node_id").alias("_to")).dropna().distinct()
     if expand is not None:
         links = links.join(expand.select(F.col("node_id").alias("_at")), "_at", "left_semi")
-    links = stage(links, "reach-links")
-    frontier = stage(seeds.select("seed", "node_id").distinct(), "reach-level")
+    start = seeds.select("seed", "node_id", F.lit(False).alias("_start"))
+    return _grow(links.withColumn("_r", F.lit(3)), start, max_depth, None).select("seed", "node_id")
+
+
+def remote(edges: DataFrame, chain: DataFrame, symbols: DataFrame, routes: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, types: list[str] | None = None) -> DataFrame:
+    """(seed, node_id, depth) of the routes each seed route leads to, whatever the number of hops.
+
+    ``chain`` has (route_node_id, symbol_node_id). A hop walks the chains of the routes that
+    the last one found, at most ``max_depth`` links far; depth counts hops. A route is entered
+    once per seed, and the seed itself is none of its own.
+    """
+    edges, types = stage(edges, "remote-edges"), types or FLOW_TYPES
+    frontier = stage(seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth")).distinct(), "remote-level")
     known = frontier
-    for _ in range(max_depth):
-        grown = frontier.join(links, F.col("node_id") == F.col("_at")).select("seed", F.col("_to").alias("node_id")).distinct()
-        frontier = stage(grown.join(known, ["seed", "node_id"], "left_anti"), "reach-level")
-        if not frontier.take(1):
-            break
+    for depth in count(1):
+        start = frontier.join(chain, F.col("node_id") == F.col("route_node_id")).select("seed", F.col("symbol_node_id").alias("node_id")).distinct()
+        found = reach(edges, start, types, max_depth, symbols).join(routes.select("node_id"), "node_id", "left_semi").select("seed", "node_id").distinct()
+        frontier, n = stage_counting(found.join(known, ["seed", "node_id"], "left_anti").withColumn("depth", F.lit(depth)), "remote-level")
+        if not n:
+            return known.filter("depth > 0")
         known = known.unionByName(frontier)
-    return known
+
+
+def _code(depth: Column | int, best: Column) -> Column:
+    """Depth and rank in one number: the highest is the surest of the nearest."""
+    return best.cast("long") - F.lit(4).cast("long") * depth
+
+
+def _depth(code: Column) -> Column:
+    return (-F.shiftright(code, 2)).cast("int")
+
+
+def _rank(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(3).cast("long")).cast("int")
+
+
+def _grow(links: DataFrame, start: DataFrame, max_depth: int | None, stop: DataFrame | None) -> DataFrame:
+    """(seed, node_id, _start, _code) grown from ``start`` over links (_at, _to, _r).
+
+    A level is one join and one aggregation: every row passes on, rows of the last level
+    also pass what they link to, and of equal (seed, node) the nearest, surest one stays.
+    STRIDE levels make one job, whose result is staged. The links of a node with more than
+    HUB_LINKS of them are dealt over shares, and rows at that node are repeated for each.
+    """
+    links = links.withColumn("_halt", F.lit(False))
+    if stop is not None:
+        halt = stop.select(F.col("node_id").alias("_at"), F.lit(True).alias("_halt")).distinct()
+        links = links.drop("_halt").join(halt, "_at", "left").withColumn("_halt", F.coalesce("_halt", F.lit(False)))
+    dealt, hubs, n_hubs = _deal(links)
+    first, dealt = dealt, dealt.filter("not _halt")
+    state = start.select("seed", "node_id", "_start", _code(0, F.lit(3)).alias("_code")).distinct()
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        for _ in range(STRIDE if max_depth is None else min(STRIDE, max_depth - depth)):
+            state = _level(state, first if depth == 0 else dealt, hubs if n_hubs else None, depth)
+            depth += 1
+        state, last = stage_counting(state, "levels", _depth(F.col("_code")) == depth)
+        if not last:
+            break
+    return state
+
+
+def _level(state: DataFrame, links: DataFrame, hubs: DataFrame | None, depth: int) -> DataFrame:
+    newest = _depth(F.col("_code")) == depth
+    # Rows that only pass on meet no link: their share is negative, and spread by seed.
+    aside = -1 - F.pmod(F.xxhash64("seed"), F.lit(1024)).cast("int")
+    if hubs is None:
+        at = state.withColumn("_share", F.when(newest, F.lit(0)).otherwise(aside))
+    else:
+        shares = F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)
+        at = state.join(hubs, newest & (F.col("node_id") == F.col("_hub")), "left").withColumn("_share", F.explode(F.when(newest, shares).otherwise(F.array(aside)))).drop("_hub", "_shares")
+    met = at.join(links, (F.col("node_id") == F.col("_at")) & (F.col("_share") == F.col("_of")), "left")
+    own = F.struct("node_id", "_start", "_code")
+    other = F.struct(F.col("_to").alias("node_id"), F.lit(False).alias("_start"), _code(depth + 1, F.least(_rank(F.col("_code")), F.col("_r"))).alias("_code"))
+    passed = met.select("seed", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, other))).alias("_x"))
+    return passed.groupBy("seed", F.col("_x.node_id").alias("node_id"), F.col("_x._start").alias("_start")).agg(F.max("_x._code").alias("_code"))
+
+
+def _deal(links: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """(links with _of, hubs (_hub, _shares), number of hubs): no share of a node much over ``most`` links."""
+    most = most or HUB_LINKS
+    links = stage(links, "links")
+    hubs = links.groupBy(F.col("_at").alias("_hub")).agg(F.ceil(F.count("*") / most).cast("int").alias("_shares")).filter("_shares > 1")
+    hubs, n_hubs = stage_counting(hubs, "hubs")
+    if not n_hubs:
+        return links.withColumn("_of", F.lit(0)), hubs, 0
+    of = F.pmod(F.xxhash64("_to"), F.coalesce("_shares", F.lit(1))).cast("int")
+    return stage(links.join(hubs, F.col("_at") == F.col("_hub"), "left").select(*links.columns, of.alias("_of")), "dealt-links"), hubs, n_hubs
 
 
 def truncate_buckets(rows: DataFrame, bucket: str, order: list[Column], limit: int) -> DataFrame:

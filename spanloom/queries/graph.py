@@ -11,10 +11,7 @@ from spanloom.operators import cfg as C
 from spanloom.operators import cochange as CC
 from spanloom.operators import graph as G
 from spanloom.operators.intervals import innermost, overlapping
-from spanloom.queries.common import EDGES_SQL, NAME_SQL, RANK_SQL, read
-
-# Depths of the SQL below only: the queries go to G.MAX_DEPTH.
-WALK_DEPTH, IMPACT_DEPTH, REACH_DEPTH = 3, 4, 3
+from spanloom.queries.common import EDGES_SQL, NAME_SQL, RANK_SQL, SPACES_SQL, read
 
 
 def _edges(spark, d):
@@ -68,8 +65,13 @@ def shared_nodes(spark, d):
     return G.shared_nodes(edges, read(spark, d, "nodes"), seeds, ["config", "datastore"])
 
 
+def _spaces(spark, d):
+    """Module namespaces: a closure reaches them but does not go on from them."""
+    return read(spark, d, "nodes").filter("kind = 'symbol'").filter(S.symbol_kind(F.col("key")) == "namespace").select("node_id")
+
+
 def reverse_closure(spark, d):
-    return G.closure(_edges(spark, d), _hub(spark, d), G.IMPACT_TYPES)
+    return G.closure(_edges(spark, d), _hub(spark, d), G.IMPACT_TYPES, stop=_spaces(spark, d))
 
 
 def _chain_seeds(spark, d):
@@ -215,9 +217,9 @@ QUERIES = {
 _HUB = """hub as (select n.node_id as seed from (select dst_node_id as node_id, count(distinct src_node_id) as f from edges where type = 'CALLS' group by 1) c
   join nodes n using (node_id) where n.kind = 'symbol' order by f desc, n.node_id limit 1)"""
 _CLOSURE = f"""with recursive e as {EDGES_SQL}, {_HUB},
-  l as (select dst_node_id as a, src_node_id as b, max({RANK_SQL}) as r from e where type in ('CALLS', 'HANDLES', 'REQUESTS') and src_node_id is not null and dst_node_id is not null group by 1, 2),
+  l as (select dst_node_id as a, src_node_id as b, max({RANK_SQL}) as r, dst_node_id in {SPACES_SQL} as halt from e where type in ('CALLS', 'HANDLES', 'REQUESTS') and src_node_id is not null and dst_node_id is not null group by 1, 2),
   c as (select seed, seed as node_id, 0 as depth, 3 as r from hub
-        union select c.seed, l.b, c.depth + 1, least(c.r, l.r) from c join l on l.a = c.node_id where c.depth < {IMPACT_DEPTH}),
+        union select c.seed, l.b, c.depth + 1, least(c.r, l.r) from c join l on l.a = c.node_id where c.depth < {G.MAX_DEPTH} and (c.depth = 0 or not l.halt)),
   m as (select seed, node_id, min(depth) as depth from c where depth > 0 group by 1, 2),
   out as (select m.seed, m.node_id, m.depth, max(c.r) as r from m join c on c.seed = m.seed and c.node_id = m.node_id and c.depth = m.depth group by 1, 2, 3)"""
 _COMMITS = """rows as (select distinct r.commit_sha as sha, concat_ws('/', f.repo_id, f.path) as file from files f join runs r on r.run_id = f.last_run_id where r.commit_sha <> ''),
@@ -253,7 +255,7 @@ ORACLE = {
     "shortest_confidence": f"{_CLOSURE} select depth, {NAME_SQL.format('r')} as path_confidence, count(*) as n from out group by 1, 2",
     "reachable_per_route": f"""with recursive l as (select distinct src_node_id as a, dst_node_id as b from edges where type = 'CALLS' and src_node_id in (select node_id from nodes where kind = 'symbol')),
       r as (select distinct route_node_id as seed, symbol_node_id as node_id, 0 as depth from route_chain where symbol_node_id is not null
-            union select r.seed, l.b, r.depth + 1 from r join l on l.a = r.node_id where r.depth < {REACH_DEPTH}),
+            union select r.seed, l.b, r.depth + 1 from r join l on l.a = r.node_id where r.depth < {G.MAX_DEPTH}),
       u as (select distinct seed, node_id from r)
       select seed, count(*) as n_reached, cast(sum(node_id) as bigint) as id_sum from u group by 1""",
     "walk_forward": f"""with recursive e as {EDGES_SQL},
@@ -262,9 +264,9 @@ ORACLE = {
             from route_chain where symbol_node_id is not null and route_node_id = (select min(route_node_id) from route_chain where symbol_node_id is not null)),
       w as (select position, [node_id] as path, cast([] as bigint[]) as ep, node_id, 0 as depth, cast(null as varchar) as type, cast(null as int) as line, 3 as r, low, high from s
             union all select w.position, list_append(w.path, l.b), list_append(w.ep, l.edge_id), l.b, w.depth + 1, l.type, l.line, least(w.r, l.r), null, null
-            from w join l on l.a = w.node_id where w.depth < {WALK_DEPTH} and not list_contains(w.path[2:], l.b) and (w.low is null or l.line between w.low and w.high)),
+            from w join l on l.a = w.node_id where w.depth < {G.MAX_DEPTH} and not list_contains(w.path[2:], l.b) and (w.low is null or l.line between w.low and w.high)),
       x as (select *, list_contains(path[:-2], node_id) as cycle from w)
-      select position, array_to_string(ep, '>') as edges, node_id, depth, type, line, {NAME_SQL.format('r')} as path_confidence, cycle, depth = {WALK_DEPTH} and not cycle and node_id in (select a from l) as truncated from x""",
+      select position, array_to_string(ep, '>') as edges, node_id, depth, type, line, {NAME_SQL.format('r')} as path_confidence, cycle, depth = {G.MAX_DEPTH} and not cycle and node_id in (select a from l) as truncated from x""",
     "bucket_truncate": """with r as (select *, row_number() over (partition by method order by url, node_id) as place, count(*) over (partition by method) as n, count(*) over () as total from routes)
       select node_id, method, total from r where place <= case when total <= 25 then n else greatest(1, floor(25 * n / total::double + 0.5)) end""",
     "co_changed": f"with {_COMMITS} select * from co",

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import graph as G
 from spanloom.plans.engine import Engine
-from spanloom.queries.common import EDGES_SQL, RANK_SQL, read
-from spanloom.queries.graph import _CLOSURE, _hub, _ranges
+from spanloom.queries.common import EDGES_SQL, RANK_SQL, SPACES_SQL, read
+from spanloom.queries.graph import _CLOSURE, _hub, _ranges, _spaces
 
-# Depths of the SQL below only: the queries go to G.MAX_DEPTH, over routes to the end.
-LINK_DEPTH, ROUTE_DEPTH, IMPACT_DEPTH = 2, 4, 4
+#: Rounds of the SQL below; a route that far away is a row too much, and the comparison fails.
+ROUNDS = 40
 _TABLES = ("nodes", "edges", "routes", "route_chain", "function_cfg")
 
 
@@ -19,30 +19,35 @@ def _engine(spark: SparkSession, d: str) -> Engine:
     return Engine({t: read(spark, d, t) for t in _TABLES})
 
 
-def route_links(spark: SparkSession, d: str) -> DataFrame:
-    """(route, remote route) for every route whose chain leads to another within MAX_DEPTH links."""
+def _route_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(edges that a flow can follow, chain, symbols, routes); other kinds are never left and never asked for."""
     nodes = read(spark, d, "nodes")
-    symbols = nodes.filter("kind = 'symbol'").select("node_id")
-    seeds = read(spark, d, "route_chain").filter("symbol_node_id is not null").select(F.col("route_node_id").alias("seed"), F.col("symbol_node_id").alias("node_id"))
-    routes = nodes.filter("kind = 'route'").select("node_id")
-    # Other kinds are never left and never asked for.
+    symbols, routes = (nodes.filter(F.col("kind") == kind).select("node_id") for kind in ("symbol", "route"))
     edges = read(spark, d, "edges").join(symbols.unionByName(routes).withColumnRenamed("node_id", "dst_node_id"), "dst_node_id", "left_semi")
-    found = G.reach(edges, seeds, G.FLOW_TYPES, expand=symbols)
-    return found.join(routes, "node_id", "left_semi").filter("node_id <> seed").select(F.col("seed").alias("route_node_id"), F.col("node_id").alias("remote_node_id"))
+    chain = read(spark, d, "route_chain").filter("symbol_node_id is not null").select("route_node_id", "symbol_node_id").distinct()
+    return edges, chain, symbols, routes
+
+
+def route_links(spark: SparkSession, d: str) -> DataFrame:
+    """How many other routes the chain of each route leads to within MAX_DEPTH links."""
+    edges, chain, symbols, routes = _route_graph(spark, d)
+    found = G.reach(edges, chain.toDF("seed", "node_id"), G.FLOW_TYPES, expand=symbols)
+    far = found.join(routes, "node_id", "left_semi").filter("node_id <> seed")
+    return far.groupBy(F.col("seed").alias("route_node_id")).agg(F.count("*").alias("n_remote"), F.sum("node_id").alias("id_sum"))
 
 
 def remote_routes(spark, d):
-    """Routes the first route leads to, over any number of services."""
-    links = route_links(spark, d).select(F.col("route_node_id").alias("src_node_id"), F.col("remote_node_id").alias("dst_node_id"), F.lit("LEADS").alias("type"), F.lit("inferred").alias("confidence"))
-    first = read(spark, d, "route_chain").filter("symbol_node_id is not null").agg(F.min("route_node_id").alias("seed"))
-    return G.closure(links, first, ["LEADS"], False, None).select("seed", "node_id", "depth")
+    """Routes the first route leads to, over any number of services, each entered once."""
+    edges, chain, symbols, routes = _route_graph(spark, d)
+    first = chain.agg(F.min("route_node_id").alias("seed"))
+    return G.remote(edges, chain, symbols, routes, first)
 
 
 def impact_routes(spark, d):
     """Routes a change of the hub can break, by the surest evidence."""
     engine = _engine(spark, d)
     hub = _hub(spark, d)
-    closure = G.closure(G.edges_once(engine.table("edges")), hub, G.IMPACT_TYPES)
+    closure = G.closure(G.edges_once(engine.table("edges")), hub, G.IMPACT_TYPES, stop=_spaces(spark, d))
     own = hub.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.lit("certain").alias("path_confidence"))
     return engine.impacted_routes(closure.unionByName(own)).select("node_id", "service_name", "method", "url", "bucket")
 
@@ -61,7 +66,7 @@ _FLOW = ", ".join(repr(t) for t in G.FLOW_TYPES)
 _IMPACT = ", ".join(repr(t) for t in G.IMPACT_TYPES)
 _LINKS = f"""l as (select distinct src_node_id as a, dst_node_id as b from edges where type in ({_FLOW}) and src_node_id in (select node_id from nodes where kind = 'symbol')),
   r as (select distinct route_node_id as seed, symbol_node_id as node_id, 0 as depth from route_chain where symbol_node_id is not null
-        union select r.seed, l.b, r.depth + 1 from r join l on l.a = r.node_id where r.depth < {LINK_DEPTH}),
+        union select r.seed, l.b, r.depth + 1 from r join l on l.a = r.node_id where r.depth < {G.MAX_DEPTH}),
   links as (select distinct seed as route_node_id, node_id as remote_node_id from r where node_id <> seed and node_id in (select node_id from nodes where kind = 'route'))"""
 
 
@@ -75,10 +80,10 @@ def _routes_of(closure: str) -> str:
 _BUCKET = "case r when 3 then 'certain' when 0 then 'unknown' else 'inferred' end"
 
 ORACLE = {
-    "route_links": f"with recursive {_LINKS} select * from links",
+    "route_links": f"with recursive {_LINKS} select route_node_id, count(*) as n_remote, cast(sum(remote_node_id) as bigint) as id_sum from links group by 1",
     "remote_routes": f"""with recursive {_LINKS}, w as (select min(route_node_id) as seed, min(route_node_id) as node_id, 0 as depth from route_chain where symbol_node_id is not null
-        union select w.seed, k.remote_node_id, w.depth + 1 from w join links k on k.route_node_id = w.node_id where w.depth < {ROUTE_DEPTH})
-      select seed, node_id, min(depth) as depth from w where depth > 0 group by 1, 2""",
+        union select w.seed, k.remote_node_id, w.depth + 1 from w join links k on k.route_node_id = w.node_id where w.depth < {ROUNDS})
+      select seed, node_id, min(depth) as depth from w where depth > 0 and node_id <> seed group by 1, 2""",
     "impact_routes": f"""{_CLOSURE}, own as (select seed, node_id, r from out union all select seed, seed, 3 from hub), {_routes_of('own')}
       select node_id, service_name, method, url, {_BUCKET} as bucket from best join routes using (node_id)""",
     "pr_routes": f"""with recursive e as {EDGES_SQL},
@@ -87,8 +92,8 @@ ORACLE = {
       hs as (select rg.symbol_node_id as seed from h join rg on rg.file_id = h.file_id and rg.start_line <= h.last and rg.end_line >= h.first and h.first <= h.last
              qualify row_number() over (partition by h.file_id, h.first, h.last order by rg.end_line - rg.start_line, rg.symbol_node_id) = 1),
       sd as (select distinct seed from hs),
-      l as (select dst_node_id as a, src_node_id as b, max({RANK_SQL}) as r from e where type in ({_IMPACT}) and src_node_id is not null and dst_node_id is not null group by 1, 2),
-      c as (select seed, seed as node_id, 0 as depth, 3 as r from sd union select c.seed, l.b, c.depth + 1, least(c.r, l.r) from c join l on l.a = c.node_id where c.depth < 2),
+      l as (select dst_node_id as a, src_node_id as b, max({RANK_SQL}) as r, dst_node_id in {SPACES_SQL} as halt from e where type in ({_IMPACT}) and src_node_id is not null and dst_node_id is not null group by 1, 2),
+      c as (select seed, seed as node_id, 0 as depth, 3 as r from sd union select c.seed, l.b, c.depth + 1, least(c.r, l.r) from c join l on l.a = c.node_id where c.depth < {G.MAX_DEPTH} and (c.depth = 0 or not l.halt)),
       m as (select seed, node_id, min(depth) as depth from c where depth > 0 group by 1, 2),
       cl as (select m.seed, m.node_id, max(c.r) as r from m join c using (seed, node_id, depth) group by 1, 2 union all select seed, seed, 3 from sd), {_routes_of('cl')}
       select node_id, service_name, method, url, case max(case when r = 3 then 2 when r > 0 then 1 else 0 end) when 2 then 'certain' when 1 then 'inferred' else 'unknown' end as bucket, count(distinct seed) as n_seeds

@@ -16,8 +16,7 @@ from spanloom.session import shared_dir
 from spanloom.queries.common import EDGES_SQL, RANK_SQL, read
 from spanloom.streaming.sampler import service_sessions, tail_sample_stream, traffic_windows
 
-SAMPLE_RATE, ERRORED_LIMIT, REACH_DEPTH = 0.1, 20, 3
-# REACH_DEPTH is that of the SQL below only: the queries reach to G.MAX_DEPTH.
+SAMPLE_RATE, ERRORED_LIMIT = 0.1, 20
 
 
 def span_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -281,7 +280,7 @@ _PAIRS = """cp as (select c.service_name, c.http_route, c.http_method, c.server_
 _SYMBOLS = "(select node_id from nodes where kind = 'symbol')"
 _REACH = f"""l as (select distinct src_node_id as a, dst_node_id as b from edges where type = 'CALLS' and src_node_id in {_SYMBOLS}),
   rr as (select distinct route_node_id as seed, symbol_node_id as node_id, 0 as depth from route_chain where symbol_node_id is not null
-         union select rr.seed, l.b, rr.depth + 1 from rr join l on l.a = rr.node_id where rr.depth < {REACH_DEPTH}),
+         union select rr.seed, l.b, rr.depth + 1 from rr join l on l.a = rr.node_id where rr.depth < {G.MAX_DEPTH}),
   reached as (select distinct seed, node_id from rr)"""
 _WRITE_LINES = """h as (select distinct route_node_id, file_id, line as low, coalesce(end_line, line) as high from ch where phase in ('handler', 'handler_inline') and line is not null and file_id is not null),
   wl as (select distinct h.route_node_id, n.key as datastore from h join edges e on e.file_id = h.file_id and e.line between h.low and h.high join nodes n on n.node_id = e.dst_node_id where e.type = 'WRITES' and n.kind = 'datastore')"""

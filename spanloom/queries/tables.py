@@ -21,8 +21,6 @@ from spanloom.schema import ENUMS, TABLES
 from spanloom.sources.text_inputs import hunks
 
 TERMS, PREFIX, TOP_K = ["service", "request"], ["conn"], 8
-# Of the SQL below only: the query packs into the operator's default budget.
-PACK_BUDGET = 60
 
 
 def symbol_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -319,8 +317,8 @@ ORACLE = {
     "tier_budget_pack": f"""with recursive {_TIERS}, sz as (select tier, count(*) as n_items, cast(ceil(sum(length(item) + 3) / 4.0) as bigint) as cost from y group by 1),
       tn as (select unnest(range({len(CX.TIERS)})) as i, unnest([{', '.join(repr(t) for t in CX.TIERS)}]) as tier),
       ft as (select i, tier, coalesce(n_items, 0) as n_items, coalesce(cost, 0) as cost from tn left join sz using (tier)),
-      fold as (select i, tier, n_items, cost, cost <= {PACK_BUDGET} as included, case when cost <= {PACK_BUDGET} then cost else 0 end as spent from ft where i = 0
-        union all select f.i, f.tier, f.n_items, f.cost, p.spent + f.cost <= {PACK_BUDGET}, p.spent + case when p.spent + f.cost <= {PACK_BUDGET} then f.cost else 0 end from fold p join ft f on f.i = p.i + 1)
+      fold as (select i, tier, n_items, cost, cost <= {CX.BUDGET} as included, case when cost <= {CX.BUDGET} then cost else 0 end as spent from ft where i = 0
+        union all select f.i, f.tier, f.n_items, f.cost, p.spent + f.cost <= {CX.BUDGET}, p.spent + case when p.spent + f.cost <= {CX.BUDGET} then f.cost else 0 end from fold p join ft f on f.i = p.i + 1)
       select tier, n_items, cost, included from fold""",
     "diff_carry_forward": "select * from (values ('server.js', 120, 123), ('server.js', 201, 201), ('lib/x.ts', 1, 5), ('lib/x.ts', 13, 14)) t(file, first, last)",
     "route_edges_graph": f"""select e.type, a.kind as src_kind, b.kind as dst_kind, count(distinct (src_node_id, dst_node_id)) as links, count(*) filter (where confidence = 'unresolved') as unresolved

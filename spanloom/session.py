@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _STAGED: list[str] = []
 
@@ -49,12 +50,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     ``df`` holds partition ids or samples that a second run could draw differently.
     """
     spark = df.sparkSession
+    path = _staged_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _staged_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _STAGED:
         atexit.register(_drop_at_exit, spark)
     _STAGED.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stage_counting(df: DataFrame, name: str, which: Column | None = None) -> tuple[DataFrame, int]:
+    """``stage`` with the number of rows, or of those ``which`` holds for, counted by the same job."""
+    seen = Observation()
+    staged = stage(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")), name)
+    return staged, seen.get["n"]
 
 
 def drop_stages(spark: SparkSession) -> int:

@@ -59,8 +59,30 @@ def test_product_queries_follow_far_links_and_routes(spark, long_chain, rows):
     long_chain.chain(hops[0], 1, None, phase="handler_inline", line=91, end=92)
     long_chain.save()
     d = long_chain.folder
-    assert (long_chain.first, hops[0]) in rows(product.route_links(spark, d))
+    assert (long_chain.first, 1, hops[0]) in rows(product.route_links(spark, d))
     assert rows(product.remote_routes(spark, d), "node_id", "depth") == [(h, i + 1) for i, h in enumerate(hops)]
     # A change six calls below the first route's handler.
     assert long_chain.first in [r.node_id for r in product.impact_routes(spark, d).collect()]
     assert long_chain.first in [r.node_id for r in product.pr_routes(spark, d).collect()]
+
+
+def test_namespaces_are_reached_but_not_left(spark, rows):
+    from spanloom.operators import graph as G
+
+    edges = spark.createDataFrame([(1, 2, "CALLS", "certain"), (2, 3, "CALLS", "inferred"), (3, 1, "CALLS", "certain")], "src_node_id long, dst_node_id long, type string, confidence string")
+    seeds, space = spark.createDataFrame([(3,)], "seed long"), spark.createDataFrame([(2,), (3,)], "node_id long")
+    assert rows(G.closure(edges, seeds, ["CALLS"], stop=space)) == [(3, 2, 1, "inferred")]
+    assert rows(G.closure(edges, seeds, ["CALLS"]), "node_id", "depth", "path_confidence") == [(1, 2, "inferred"), (2, 1, "inferred"), (3, 3, "inferred")]
+    assert rows(G.closure(edges, seeds, ["CALLS"], max_depth=None), "node_id") == [(1,), (2,), (3,)]
+    assert rows(G.closure(edges.limit(0), seeds, ["CALLS"])) == []
+
+
+def test_dealt_hubs_change_nothing(spark, rows, monkeypatch):
+    from spanloom.operators import graph as G
+
+    links = [(1, n, "CALLS", "certain") for n in range(2, 40)] + [(n, 50 + n % 3, "CALLS", "observed") for n in range(2, 40)] + [(50, 1, "CALLS", "certain")]
+    edges = spark.createDataFrame(links, "src_node_id long, dst_node_id long, type string, confidence string")
+    seeds = spark.createDataFrame([(1,), (50,)], "seed long")
+    plain = rows(G.closure(edges, seeds, ["CALLS"], reverse=False))
+    monkeypatch.setattr(G, "HUB_LINKS", 4)
+    assert rows(G.closure(edges, seeds, ["CALLS"], reverse=False)) == plain and len(plain) == 42 * 2
