@@ -377,9 +377,9 @@ def parse(text: str) -> Source:
                 findings.append(Finding("sql", t.line, t.col, sql[1], f"{sql[0]} {sql[2]}"))
             if url := _template_url(t):
                 findings.append(Finding("url", t.line, t.col, None, None, *url))
-        elif t.kind == "name" and t.text == "fetch" and r.at(i + 1) == "(" and r.at(i - 1) != ".":
+        elif t.kind == "name" and t.text in HTTP_CLIENTS and r.at(i + 1) == "(" and r.at(i - 1) not in (".", "function"):
             findings.append(Finding("http_call", t.line, t.col, None))
-        elif t.kind == "name" and t.text in HTTP_METHODS and r.at(i - 1) == "." and r.at(i - 2).lower() in HTTP_CLIENTS and r.at(i + 1) in ("(", "<"):
+        elif t.kind == "name" and t.text in HTTP_METHODS and r.at(i - 1) == "." and r.at(i - 2) in HTTP_CLIENTS and r.at(i - 3) != "." and r.at(i + 1) in ("(", "<"):
             findings.append(Finding("http_call", r.tokens[i - 2].line, r.tokens[i - 2].col, t.text.upper()))
     functions = sorted(r.bodies.values(), key=lambda f: (f.start, f.end))
     return Source(functions, distinct(findings))

@@ -10,7 +10,7 @@ from spanloom.functions.text import SQL_HEAD, SQL_VERBS
 _CODE = re.compile(r"[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+")
 
 # HTTP client objects and the methods that are requests.
-HTTP_CLIENTS = {"axios", "api", "client", "http", "requests", "httpx", "session", "got"}
+HTTP_CLIENTS = {"axios", "fetch", "got", "superagent", "ky", "httpx", "requests", "urllib3"}
 HTTP_METHODS = {"get", "post", "put", "patch", "delete", "head", "options", "request"}
 
 

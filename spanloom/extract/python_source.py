@@ -129,8 +129,10 @@ def parse(text: str) -> Source:
             findings.append(Finding("sql", n.lineno, n.col_offset, sql[1], f"{sql[0]} {sql[2]}"))
         if isinstance(n, (ast.Constant, ast.JoinedStr)) and id(n) not in inner_strings and (url := _url(n)):
             findings.append(Finding("url", n.lineno, n.col_offset, None, None, *url))
-        if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in HTTP_METHODS and _dotted(n.func.value).rsplit(".", 1)[-1].lower() in HTTP_CLIENTS:
+        if isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr in HTTP_METHODS and _dotted(n.func.value).split(".", 1)[0] in HTTP_CLIENTS:
             findings.append(Finding("http_call", n.lineno, n.col_offset, n.func.attr.upper()))
+        elif isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in HTTP_CLIENTS:
+            findings.append(Finding("http_call", n.lineno, n.col_offset, None))
     return Source(sorted(functions, key=lambda f: (f.start, f.end)), distinct(sorted(findings, key=lambda f: (f.line, f.col))))
 
 

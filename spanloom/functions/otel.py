@@ -10,16 +10,16 @@ ALIASES = {
     "http_route": ["http.route"],
     "http_method": ["http.request.method", "http.method"],
     "http_status": ["http.response.status_code", "http.status_code"],
-    "url_path": ["url.path", "http.target"],
+    "url_path": ["url.path", "http.target", "http.path"],
     "code_function": ["code.function.name", "code.function"],
     "code_filepath": ["code.file.path", "code.filepath"],
     "db_system": ["db.system.name", "db.system"],
     "db_name": ["db.namespace", "db.name"],
     "db_operation": ["db.operation.name", "db.operation"],
-    "server_address": ["server.address", "net.peer.name"],
+    "server_address": ["server.address", "net.peer.name", "http.host"],
     "server_port": ["server.port", "net.peer.port"],
 }
-SPAN_KINDS = ["internal", "server", "client", "producer", "consumer"]
+SPAN_KINDS = ["unspecified", "internal", "server", "client", "producer", "consumer"]
 
 
 def attribute(attributes: Column, name: str) -> Column:
@@ -39,11 +39,11 @@ def micros(nanos: Column) -> Column:
 
 
 def span_kind(kind: Column) -> Column:
-    """Kind from its number (1 internal ... 5 consumer) or its enum name; null if unknown."""
+    """Kind from its number (0 unspecified ... 5 consumer) or the rest of its enum name; null for other numbers and empty text."""
     text = F.lower(F.regexp_replace(kind.cast("string"), "^SPAN_KIND_", ""))
     number = text.try_cast("int")
     names = F.array(*(F.lit(k) for k in SPAN_KINDS))
-    return F.coalesce(F.when(number.between(1, len(SPAN_KINDS)), F.try_element_at(names, number)), F.when(text.isin(*SPAN_KINDS), text))
+    return F.when(number.isNotNull(), F.when(number >= 0, F.try_element_at(names, number + 1))).otherwise(F.nullif(text, F.lit("")))
 
 
 def status(code: Column) -> Column:

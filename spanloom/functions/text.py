@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # SQL verbs that are understood, whether they write, and the word before the table.
+# upsert and merge are writing verbs as well, but no word names their table, so they read as nothing.
 SQL_VERBS = {"select": ("read", "from"), "with": ("read", "from"), "insert": ("write", "into"), "update": ("write", "update"), "delete": ("write", "from"), "replace": ("write", "into")}
 SQL_HEAD = 4000
 
@@ -58,8 +59,14 @@ def squash(text: Column) -> Column:
     return F.lower(F.array_join(tokens(text), ""))
 
 
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units: characters beyond the basic plane count twice."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
 def estimate_tokens(text: Column) -> Column:
-    return F.ceil(F.length(text) / 4).cast("long")
+    """A quarter of the length in UTF-16 units, rounded up."""
+    return F.ceil(utf16_length(text) / 4).cast("long")
 
 
 def clip(text: Column, most: int = 4000) -> Column:

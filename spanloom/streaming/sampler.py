@@ -30,28 +30,29 @@ def keeps(trace_id: str, errored: bool, rate: float) -> bool:
 def _sampler(columns: list[str], rate: float, timeout_ms: int):
     """Buffers a trace until its root arrives or its time is up, then keeps or drops it whole.
 
-    State holds the undecided spans of one trace and goes at the decision, so a span that
-    comes later opens a trace of its own and is decided alone. A timeout of 0 decides on what
-    each batch brings, for the last batch before a shutdown.
+    Time counts from the first sight of the trace: every batch that leaves it undecided sets
+    the timer again, to what then remains. State holds the undecided spans of one trace and
+    goes at the decision, so a span that comes later opens a trace of its own and is decided
+    alone. A timeout of 0 decides on what each batch brings, for the last batch before a
+    shutdown.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else []
+        parts, first_ms = (list(pickle.loads(state.get[0])), state.get[1]) if state.exists else ([], None)
         if not state.hasTimedOut:
-            for part in batches:
-                held += part[columns].astype(object).where(part[columns].notna(), None).values.tolist()
-        status, parent = columns.index("status"), columns.index("parent_span_id")
-        rooted = any(row[parent] in (None, "") for row in held)
+            parts += [part[columns] for part in batches if len(part)]
+        held = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+        rooted = (held["parent_span_id"].isna() | (held["parent_span_id"] == "")).any()
         if not (rooted or state.hasTimedOut or timeout_ms <= 0):
-            waited = state.exists
-            state.update((pickle.dumps(held),))
-            if not waited:
-                state.setTimeoutDuration(timeout_ms)
+            now = state.getCurrentProcessingTimeMs()
+            first_ms = now if first_ms is None else first_ms
+            state.update((pickle.dumps(parts), first_ms))
+            state.setTimeoutDuration(max(1, first_ms + timeout_ms - now))
             return
         if state.exists:
             state.remove()
-        if held and keeps(key[0], any(row[status] == "error" for row in held), rate):
-            yield pd.DataFrame(held, columns=columns)
+        if len(held) and keeps(key[0], bool((held["status"] == "error").any()), rate):
+            yield held
 
     return decide
 
@@ -64,7 +65,7 @@ def tail_sample_stream(spans: DataFrame, rate: float = SAMPLE_RATE, timeout_ms:
     """
     decide = _sampler(spans.columns, rate, timeout_ms)
     timer = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms > 0 else GroupStateTimeout.NoTimeout
-    return spans.groupBy("trace_id").applyInPandasWithState(decide, spans.schema, "held binary", "append", timer)
+    return spans.groupBy("trace_id").applyInPandasWithState(decide, spans.schema, "held binary, first_ms long", "append", timer)
 
 
 def deliver_once(spans: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:

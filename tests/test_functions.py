@@ -51,7 +51,7 @@ def test_path_fits(spark, path, template, fits):
 
 @pytest.mark.parametrize(
     "sql,want",
-    [("UPDATE purchase_orders SET x=1", ("UPDATE", "purchase_orders", "write")), ("SELECT 1", None), ("SELECT 1 FROM 2x", None), ('INSERT INTO "MAIL_EVENTS" VALUES (1)', ("INSERT", "mail_events", "write")), ("  with t as (select 1 from b) select * from t", ("WITH", "b", "read")), ("merge into x", None), ("hello", None), ("delete from `a.b`", ("DELETE", "a.b", "write"))],
+    [("UPDATE purchase_orders SET x=1", ("UPDATE", "purchase_orders", "write")), ("SELECT 1", None), ("SELECT 1 FROM 2x", None), ('INSERT INTO "MAIL_EVENTS" VALUES (1)', ("INSERT", "mail_events", "write")), ("  with t as (select 1 from b) select * from t", ("WITH", "b", "read")), ("merge into x", None), ("upsert into x values (1)", None), ("replace into x values (1)", ("REPLACE", "x", "write")), ("hello", None), ("delete from `a.b`", ("DELETE", "a.b", "write"))],
 )
 def test_read_sql(spark, sql, want):
     from spanloom.extract.model import read_sql
@@ -128,3 +128,18 @@ def test_toon():
     assert toon.encode({"edges": [{"src": "a", "dst": "b", "type": "CALLS"}, {"src": "c", "dst": "d,e", "type": "x\ny"}]}) == 'edges[2]{src,dst,type}:\n  a,b,CALLS\n  c,"d,e","x\\ny"'
     assert toon.encode({"x": []}) == "x[0]:" and toon.encode({"x": [1, 2, 3]}) == "x[3]: 1,2,3"
     assert toon.encode({"a": True, "b": None, "c": float("nan"), "d": {"e": 1}}) == "a: true\nb: \nc: \nd:\n  e: 1"
+
+
+@pytest.mark.parametrize("kind,want", [("0", "unspecified"), ("1", "internal"), ("5", "consumer"), ("6", None), ("-1", None), ("SPAN_KIND_SERVER", "server"), ("SPAN_KIND_", None), ("Odd", "odd"), (None, None)])
+def test_span_kinds(spark, kind, want):
+    assert one(spark, otel.span_kind(F.lit(kind).cast("string"))) == want
+
+
+@pytest.mark.parametrize("name,key", [("server_address", "http.host"), ("url_path", "http.path"), ("url_path", "http.target"), ("db_name", "db.name")])
+def test_old_spellings(spark, name, key):
+    assert one(spark, otel.attribute(F.create_map(F.lit(key), F.lit("v")), name)) == "v"
+
+
+def test_lengths_are_utf16_units(spark):
+    assert one(spark, text.estimate_tokens(F.lit("😀😀a"))) == 2
+    assert one(spark, text.utf16_length(F.lit("ä😀"))) == 3

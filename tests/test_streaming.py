@@ -76,3 +76,60 @@ def test_receiver_statistics(spark, tmp_path):
     spark.createDataFrame(spans(4), SCHEMA).observe(seen, F.count("*").alias("received")).collect()
     assert seen.get["received"] == 8
     assert receiver_statistics(spark.createDataFrame(spans(4), SCHEMA)).count() == 8
+
+
+def test_timer_counts_from_first_sight(spark, tmp_path):
+    """An undecided errored trace that gets spans in two batches is released at first seen + timeout."""
+    import time
+
+    folder, rows, seen = tmp_path / "in", [], {}
+    write = lambda *new: spark.createDataFrame(new, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def keep(batch, _):
+        for r in batch.collect():
+            rows.append((r.trace_id, r.span_id))
+            seen.setdefault(r.trace_id, time.time())
+
+    def wait(until, most=60):
+        end = time.time() + most
+        while not until() and time.time() < end:
+            time.sleep(0.2)
+
+    write(("bad", "a", "gone", "error", 1, "s", None, 1), ("fine", "a", "gone", "ok", 1, "s", None, 1))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(folder))
+    query = tail_sample_stream(stream, 0.0, 12_000).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        wait(lambda: any(p["numInputRows"] for p in query.recentProgress))
+        began = time.time()
+        write(("bad", "b", "gone", "ok", 2, "s", None, 1))
+        wait(lambda: sum(p["numInputRows"] for p in query.recentProgress) >= 3)
+        assert rows == []
+        wait(lambda: rows)
+        wait(lambda: query.lastProgress["stateOperators"] and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0, 20)
+        assert sorted(rows) == [("bad", "a"), ("bad", "b")]
+        assert seen["bad"] - began < 40
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    finally:
+        query.stop()
+
+
+def test_late_spans_are_dropped_behind_a_finite_watermark(spark, tmp_path):
+    folder = tmp_path / "in"
+    hour = 3_600_000_000
+    write = lambda *ats: spark.createDataFrame([(f"t{a}", f"s{a}", None, "ok", a, "svc", "/a", 1) for a in ats], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+    out, rows = tmp_path / "cp", []
+
+    def go():
+        stream = spark.readStream.schema(SCHEMA).parquet(str(folder))
+        q = traffic_windows(stream, "1 hour", delay="1 hour").writeStream.outputMode("append").foreachBatch(lambda b, _: rows.extend(b.collect())).option("checkpointLocation", str(out)).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    write(1, 2)
+    go()
+    write(5 * hour)
+    go()
+    write(3)  # hours behind the watermark of 4 h: too late for its window
+    go()
+    write(9 * hour)
+    go()
+    assert [(r.n_spans, r.window_start.hour) for r in sorted(rows, key=lambda r: r.window_start)] == [(2, 0), (1, 5)]
