@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import symbols as S
+from spanloom.functions.text import utf16_length
 
 # Tiers in the order they are tried; gaps are always in.
 TIERS = ["seed", "callees", "callers", "routes", "config", "datastores", "errors", "siblings", "control_flow"]
@@ -35,7 +36,7 @@ def pack(rows: DataFrame, seeds: DataFrame, budget: int = BUDGET, reserved: int
     A tier that does not fit is skipped and later, smaller ones are still tried; an empty
     tier is included at no cost. The cost of a tier is its text in estimated tokens.
     """
-    sizes = rows.groupBy("seed", "tier").agg(F.count("*").alias("n_items"), F.ceil(F.sum(F.length("item") + 3) / 4).cast("long").alias("cost"))
+    sizes = rows.groupBy("seed", "tier").agg(F.count("*").alias("n_items"), F.ceil(F.sum(utf16_length(F.col("item")) + 3) / 4).cast("long").alias("cost"))
     order = seeds.select("seed").distinct().withColumn("t", F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.lit(t).alias("tier")) for i, t in enumerate(TIERS))))).select("seed", "t.at", "t.tier")
     full = order.join(sizes, ["seed", "tier"], "left").select("seed", "at", "tier", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("cost", F.lit(0)).alias("cost"))
     listed = full.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("at", "tier", "n_items", "cost"))).alias("ts"))

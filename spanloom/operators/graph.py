@@ -28,10 +28,15 @@ HUB_LINKS = 100_000
 STRIDE = 4
 
 
-def edges_once(edges: DataFrame) -> DataFrame:
-    """One row per edge identity (source, target, type, evidence, file, line): the first by id."""
-    best = edges.groupBy("src_node_id", "dst_node_id", "type", "evidence_kind", F.coalesce("file_id", F.lit(-1)).alias("_f"), F.coalesce("line", F.lit(-1)).alias("_l")).agg(F.min_by(F.struct("*"), F.struct("edge_id")).alias("_e"))
-    return best.select("_e.*")
+def edges_once(edges: DataFrame, *columns: str) -> DataFrame:
+    """One row per edge identity (source, target, type, evidence, file, line): the first by id.
+
+    With ``columns`` only identity and those are read, shuffled and returned.
+    """
+    identity = ["src_node_id", "dst_node_id", "type", "evidence_kind", "file_id", "line"]
+    kept = [c for c in edges.columns if not columns or c in columns or c in identity]
+    keys = [*identity[:4], *(F.coalesce(c, F.lit(-1)).alias(f"_{c}") for c in identity[4:])]
+    return edges.groupBy(*keys).agg(F.min_by(F.struct(*kept), "edge_id").alias("_e")).select("_e.*")
 
 
 def fan_in(edges: DataFrame, threshold: int = UTILITY_FAN_IN) -> DataFrame:
@@ -222,5 +227,6 @@ def truncate_buckets(rows: DataFrame, bucket: str, order: list[Column], limit: i
     total = sizes.agg(F.sum("_n").alias("_total"))
     kept = rows.join(sizes, bucket).crossJoin(F.broadcast(total))
     keep = F.when(F.col("_total") <= limit, F.col("_n")).otherwise(F.greatest(F.lit(1), F.floor(F.lit(limit) * F.col("_n") / F.col("_total") + 0.5)))
-    numbered = kept.withColumn("_at", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)))
+    # No bucket keeps more than ``limit``: said as a literal, tasks cut their rows before the shuffle.
+    numbered = kept.withColumn("_at", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).filter(F.col("_at") <= limit)
     return numbered.filter(F.col("_at") <= keep).withColumn("total", F.col("_total")).drop("_n", "_total", "_at")

@@ -9,6 +9,9 @@ from spanloom.functions.text import is_wildcard, normalise_path
 
 # Hosts that name this machine.
 LOOPBACK = ["localhost", "127.0.0.1", "::1", "0.0.0.0"]
+#: Columns of spans that client pairs and route hits are made from.
+PAIR_COLUMNS = ["parent_span_id", "service_name", "kind", "http_route", "http_method", "server_address", "server_port", "start_unix_us"]
+HIT_COLUMNS = ["service_name", "kind", "http_route", "url_path", "http_method", "start_unix_us"]
 
 
 def match_templates(paths: DataFrame, routes: DataFrame) -> DataFrame:
@@ -16,12 +19,16 @@ def match_templates(paths: DataFrame, routes: DataFrame) -> DataFrame:
 
     ``paths`` has service_name, method (null: any) and path; ``routes`` has node_id,
     service_name, method and url. A template equal to the path wins if it is the only one;
-    otherwise a path counts only if exactly one template fits. Candidates meet on service and
-    number of segments, so the join stays an equi join.
+    otherwise a path counts only if exactly one template fits. Candidates meet on service,
+    number of segments, and first segment: a template that begins with a wildcard is met by the
+    empty string, which every path is laid out under as well.
     """
     keyed = paths.select("service_name", "method", "path").distinct().withColumn("_p", normalise_path(F.col("path"))).withColumn("_a", F.split("_p", "/")).withColumn("_n", F.size("_a"))
+    # Segment 1, as paths begin with a slash; both keys of a path differ, so no template meets it twice.
+    keyed = keyed.withColumn("_head", F.explode(F.array_distinct(F.array(_segment("_a"), F.lit("")))))
     templates = routes.select("node_id", F.col("service_name").alias("_service"), F.col("method").alias("_method"), normalise_path(F.col("url")).alias("_t")).withColumn("_b", F.split("_t", "/")).withColumn("_m", F.size("_b"))
-    met = keyed.join(templates, (F.col("service_name") == F.col("_service")) & (F.col("_n") == F.col("_m")) & (F.col("method").isNull() | (F.col("method") == F.col("_method"))))
+    templates = templates.withColumn("_head_t", F.when(is_wildcard(_segment("_b")), F.lit("")).otherwise(_segment("_b")))
+    met = keyed.join(templates, (F.col("service_name") == F.col("_service")) & (F.col("_n") == F.col("_m")) & (F.col("_head") == F.col("_head_t")) & (F.col("method").isNull() | (F.col("method") == F.col("_method"))))
     fits = F.forall(F.zip_with("_a", "_b", lambda a, b: is_wildcard(b) | (a == b)), lambda x: x)
     fitting = met.filter(fits).withColumn("_exact", (F.col("_p") == F.col("_t")).cast("int"))
     found = fitting.groupBy("service_name", "method", "path").agg(F.count("*").alias("_fit"), F.sum("_exact").alias("_exact"), F.min("node_id").alias("_any"), F.min(F.when(F.col("_exact") == 1, F.col("node_id"))).alias("_same"))
@@ -29,6 +36,10 @@ def match_templates(paths: DataFrame, routes: DataFrame) -> DataFrame:
     return found.select("service_name", "method", "path", pick.alias("node_id")).filter("node_id is not null")
 
 
+def _segment(parts: str) -> F.Column:
+    return F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+
+
 def service_at(addresses: DataFrame, services: DataFrame, ports: DataFrame) -> DataFrame:
     """``addresses`` (server_address, server_port) with callee_service, null if unknown.
 

@@ -9,9 +9,14 @@ from spanloom.functions.text import keep_by_hash
 from spanloom.operators.hierarchy import hierarchy
 
 
-def once(spans: DataFrame) -> DataFrame:
-    """One row per (trace_id, span_id): the delivery received first."""
-    return spans.groupBy("trace_id", "span_id").agg(F.min_by(F.struct(*(c for c in spans.columns if c not in ("trace_id", "span_id"))), F.struct(F.col("received_at").isNull(), F.col("received_at"))).alias("_s")).select("trace_id", "span_id", "_s.*")
+def once(spans: DataFrame, *columns: str) -> DataFrame:
+    """One row per (trace_id, span_id): the delivery received first; of ``columns`` only, if given.
+
+    Name the columns: what is not asked for is then neither read nor shuffled.
+    """
+    kept = [c for c in columns or spans.columns if c not in ("trace_id", "span_id")]
+    best = F.min_by(F.struct(*kept), F.struct(F.col("received_at").isNull(), F.col("received_at")))
+    return spans.groupBy("trace_id", "span_id").agg(best.alias("_s")).select("trace_id", "span_id", "_s.*")
 
 
 def tail_sample(spans: DataFrame, rate: float) -> DataFrame:

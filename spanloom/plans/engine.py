@@ -105,7 +105,7 @@ class Engine:
         A route that a path ends in is entered once: its chain is walked in the next round,
         and later sights of it stay boundaries.
         """
-        edges, nodes = G.edges_once(self.table("edges")), self.table("nodes")
+        edges, nodes = G.edges_once(self.table("edges"), "edge_id", "confidence"), self.table("nodes")
         first = self.route(service, method, url)
         frontier, seen = [first], [first]
         chains, steps = [], []
@@ -141,7 +141,7 @@ class Engine:
         Routes are those reached over edges, and those whose chain names a reached symbol;
         of both the surer evidence stands.
         """
-        edges, nodes = G.edges_once(self.table("edges")), self.table("nodes")
+        edges, nodes = G.edges_once(self.table("edges"), "edge_id", "confidence"), self.table("nodes")
         node, how = self.seed(seed) if isinstance(seed, str) else (seed, "id")
         seeds = self._ids("seed", [node])
         spaces = nodes.filter("kind = 'symbol'").filter(S.symbol_kind(F.col("key")) == "namespace").select("node_id")
@@ -169,7 +169,7 @@ class Engine:
         it touches, else the smallest symbol; parameters never count. Hunks without a symbol
         and files without any are listed.
         """
-        edges, nodes = G.edges_once(self.table("edges")), self.table("nodes")
+        edges, nodes = G.edges_once(self.table("edges"), "edge_id", "confidence"), self.table("nodes")
         usable = symbols.filter("symbol_kind not in ('parameter', 'meta', 'typeParameter', 'namespace')").select(F.col("path").alias("file"), "node_id", "symbol_kind", "start_line", "end_line")
         met = overlapping(hunks, usable, "file", "first", "last", "start_line", "end_line")
         best = met.groupBy("file", "first", "last").agg(F.min(F.struct((F.col("symbol_kind") != "method").alias("other"), (F.col("end_line") - F.col("start_line")).alias("size"), "node_id")).alias("b"))
@@ -197,7 +197,7 @@ class Engine:
         reached = G.reach(self.table("edges"), chain.filter("symbol_node_id is not null").select(F.col("route_node_id").alias("seed"), F.col("symbol_node_id").alias("node_id")), G.REACH_TYPES, max_depth, symbols).select("node_id").distinct()
         surface = guards(self.table("function_cfg").join(reached.select(F.col("node_id").alias("symbol_node_id")), "symbol_node_id", "left_semi"))
         known = surface.select(F.col("symbol_node_id").alias("src_node_id"), F.col("start_line").alias("line"))
-        throws = G.edges_once(self.table("edges")).filter("type = 'THROWS'").join(reached.select(F.col("node_id").alias("src_node_id")), "src_node_id", "left_semi").join(known, ["src_node_id", "line"], "left_anti")
+        throws = G.edges_once(self.table("edges"), "edge_id").filter("type = 'THROWS'").join(reached.select(F.col("node_id").alias("src_node_id")), "src_node_id", "left_semi").join(known, ["src_node_id", "line"], "left_anti")
         hit = TR.once(self.table("spans")).filter((F.col("service_name") == service) & (F.col("http_route") == url) & (F.col("http_method").isNull() | (F.col("http_method") == method.upper())))
         mine = self.table("spans").join(hit.select("trace_id").distinct(), "trace_id", "left_semi")
         observed = TR.root_causes(mine)
@@ -214,7 +214,7 @@ class Engine:
         seeds = self._ids("seed", [node])
         gaps = self.table("unresolved_calls").filter(F.col("src_node_id") == node)
         reserved = gaps.agg(F.coalesce(F.sum(F.ceil(F.length(F.concat_ws(" ", "kind", "target_hint", "reason")) / 4)), F.lit(0)).cast("long")).first()[0]
-        rows = CX.tiers(self.table("nodes"), G.edges_once(self.table("edges")), self.table("function_cfg"), seeds)
+        rows = CX.tiers(self.table("nodes"), self.table("edges"), self.table("function_cfg"), seeds)
         packed = CX.pack(rows, seeds, budget, reserved)
         return Answer({"packed": packed, "items": rows.join(packed.filter("included").select("seed", "tier"), ["seed", "tier"], "left_semi"), "gaps": gaps}, {"node_id": node, "resolved_by": how, "reserved": reserved})
 

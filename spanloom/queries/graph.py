@@ -14,28 +14,28 @@ from spanloom.operators.intervals import innermost, overlapping
 from spanloom.queries.common import EDGES_SQL, NAME_SQL, RANK_SQL, SPACES_SQL, read
 
 
-def _edges(spark, d):
-    return G.edges_once(read(spark, d, "edges"))
+def _edges(spark, d, *columns):
+    return G.edges_once(read(spark, d, "edges"), *columns)
 
 
 def edge_identity_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d).select("edge_id", "src_node_id", "dst_node_id", "type", "evidence_kind")
+    return _edges(spark, d, "edge_id").select("edge_id", "src_node_id", "dst_node_id", "type", "evidence_kind")
 
 
 def edge_type_counts(spark, d):
-    return _edges(spark, d).groupBy("type", "confidence").agg(F.count("*").alias("n"))
+    return _edges(spark, d, "confidence").groupBy("type", "confidence").agg(F.count("*").alias("n"))
 
 
 def cross_repo_edges(spark, d):
     repo = read(spark, d, "nodes").select("node_id", "repo_id")
-    e = _edges(spark, d).select("src_node_id", "dst_node_id", "type")
+    e = _edges(spark, d, "edge_id").select("src_node_id", "dst_node_id", "type")
     a, b = repo.toDF("src_node_id", "src_repo"), repo.toDF("dst_node_id", "dst_repo")
     return e.join(a, "src_node_id").join(b, "dst_node_id").filter("src_repo <> dst_repo").groupBy("type").agg(F.count("*").alias("n"))
 
 
 def cross_file_calls(spark, d):
     nodes = read(spark, d, "nodes").filter("kind = 'symbol'").select("node_id", F.concat_ws("/", S.package_of(F.col("key")), S.descriptors(F.col("key"))[0]["name"]).alias("file"))
-    calls = _edges(spark, d).filter("type = 'CALLS'").select("src_node_id", "dst_node_id")
+    calls = _edges(spark, d, "edge_id").filter("type = 'CALLS'").select("src_node_id", "dst_node_id")
     joined = calls.join(nodes.toDF("src_node_id", "src_file"), "src_node_id").join(nodes.toDF("dst_node_id", "dst_file"), "dst_node_id")
     return joined.groupBy((F.col("src_file") != F.col("dst_file")).alias("cross_file")).agg(F.count("*").alias("n"))
 
@@ -71,7 +71,7 @@ def _spaces(spark, d):
 
 
 def reverse_closure(spark, d):
-    return G.closure(_edges(spark, d), _hub(spark, d), G.IMPACT_TYPES, stop=_spaces(spark, d))
+    return G.closure(_edges(spark, d, "confidence"), _hub(spark, d), G.IMPACT_TYPES, stop=_spaces(spark, d))
 
 
 def _chain_seeds(spark, d):
@@ -94,7 +94,7 @@ def walk_forward(spark, d):
     chain = read(spark, d, "route_chain").join(_first_route(spark, d), "route_node_id", "left_semi").filter("symbol_node_id is not null")
     anonymous = F.col("name").isNull() & F.col("line").isNotNull() & F.col("end_line").isNotNull()
     seeds = chain.select(F.concat_ws(":", "position", "phase").alias("position"), F.col("symbol_node_id").alias("node_id"), F.when(anonymous, F.col("line")).alias("low"), F.when(anonymous, F.col("end_line")).alias("high")).distinct()
-    rows = G.walk(_edges(spark, d), read(spark, d, "nodes"), seeds)
+    rows = G.walk(_edges(spark, d, "edge_id", "confidence"), read(spark, d, "nodes"), seeds)
     return rows.select("position", F.array_join(F.col("edge_path").cast("array<string>"), ">").alias("edges"), "node_id", "depth", "type", "line", "path_confidence", "cycle", "truncated")
 
 
@@ -168,14 +168,14 @@ def hunk_overlap(spark, d):
 
 def possibly_dead(spark, d):
     """Static edges nobody saw for 30 days before the last sight of any edge; never-seen first."""
-    edges = _edges(spark, d).filter("evidence_kind in ('scip', 'treesitter')")
+    edges = _edges(spark, d, "edge_id", "last_observed_at").filter("evidence_kind in ('scip', 'treesitter')")
     last = read(spark, d, "edges").agg(F.max("last_observed_at").alias("as_of"))
     old = edges.crossJoin(F.broadcast(last)).filter(F.col("last_observed_at").isNull() | (F.col("last_observed_at") < F.col("as_of") - F.expr("interval 30 days")))
     return old.select("edge_id", "type", "last_observed_at").orderBy(F.asc_nulls_first("last_observed_at"), "edge_id").limit(50)
 
 
 def possibly_dead_count(spark, d):
-    edges = _edges(spark, d).filter("evidence_kind in ('scip', 'treesitter')")
+    edges = _edges(spark, d, "last_observed_at").filter("evidence_kind in ('scip', 'treesitter')")
     last = read(spark, d, "edges").agg(F.max("last_observed_at").alias("as_of"))
     dead = F.col("last_observed_at").isNull() | (F.col("last_observed_at") < F.col("as_of") - F.expr("interval 30 days"))
     return edges.crossJoin(F.broadcast(last)).agg(F.count_if(dead).alias("possibly_dead"), F.count("*").alias("static_edges"))
@@ -183,7 +183,7 @@ def possibly_dead_count(spark, d):
 
 def path_confidence_fold(spark, d):
     """Weakest confidence over both links of every call through a route's handler."""
-    e = _edges(spark, d).select("src_node_id", "dst_node_id", "type", rank(F.col("confidence")).alias("r"))
+    e = _edges(spark, d, "confidence").select("src_node_id", "dst_node_id", "type", rank(F.col("confidence")).alias("r"))
     a = e.filter("type = 'HANDLES'").select(F.col("src_node_id").alias("a"), F.col("dst_node_id").alias("m"), F.col("r").alias("r1"))
     b = e.filter("type = 'CALLS'").select(F.col("src_node_id").alias("m"), F.col("dst_node_id").alias("b"), F.col("r").alias("r2"))
     return a.join(b, "m").groupBy(name_of(F.least("r1", "r2")).alias("confidence")).agg(F.count("*").alias("n"))
@@ -201,7 +201,7 @@ def systematic_sample(spark, d):
 def bucket_precedence(spark, d):
     """The surest edge into each route decides its bucket."""
     routes = read(spark, d, "routes").select(F.col("node_id").alias("dst_node_id"))
-    e = _edges(spark, d).join(routes, "dst_node_id", "left_semi")
+    e = _edges(spark, d, "confidence").join(routes, "dst_node_id", "left_semi")
     best = e.groupBy("dst_node_id").agg(F.max(rank(F.col("confidence"))).alias("r"))
     return best.select(F.col("dst_node_id").alias("route_node_id"), F.when(F.col("r") == 3, "certain").when(F.col("r") > 0, "inferred").otherwise("unknown").alias("bucket"))
 

@@ -90,7 +90,7 @@ def _day(ts: F.Column) -> F.Column:
 def span_orphans(spark: SparkSession, d: str) -> DataFrame:
     spans = read(spark, d, "spans")
     refs = spans.filter((F.col("parent_span_id") != "") & F.col("trace_id").isNotNull()).select(
-        F.concat_ws(":", "trace_id", "span_id").alias("row_key"), F.concat_ws(_SEP, "trace_id", "parent_span_id").alias("key"), F.expr("cast(floor(start_unix_us / 86400000000D) as int)").alias("period")
+        F.concat("trace_id", F.lit(":"), "span_id").alias("row_key"), F.concat_ws(_SEP, "trace_id", "parent_span_id").alias("key"), F.expr("cast(floor(start_unix_us / 86400000000D) as int)").alias("period")
     )
     parents = spans.filter(F.col("trace_id").isNotNull() & F.col("span_id").isNotNull()).select(F.concat_ws(_SEP, "trace_id", "span_id").alias("key"))
     return orphan_references(refs, parents).withColumn("field_name", F.lit("spans.parent_span_id"))

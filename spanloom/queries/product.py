@@ -47,7 +47,7 @@ def impact_routes(spark, d):
     """Routes a change of the hub can break, by the surest evidence."""
     engine = _engine(spark, d)
     hub = _hub(spark, d)
-    closure = G.closure(G.edges_once(engine.table("edges")), hub, G.IMPACT_TYPES, stop=_spaces(spark, d))
+    closure = G.closure(G.edges_once(engine.table("edges"), "confidence"), hub, G.IMPACT_TYPES, stop=_spaces(spark, d))
     own = hub.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.lit("certain").alias("path_confidence"))
     return engine.impacted_routes(closure.unionByName(own)).select("node_id", "service_name", "method", "url", "bucket")
 

@@ -17,19 +17,20 @@ from spanloom.queries.common import EDGES_SQL, RANK_SQL, read
 from spanloom.streaming.sampler import service_sessions, tail_sample_stream, traffic_windows
 
 SAMPLE_RATE, ERRORED_LIMIT = 0.1, 20
+TRAFFIC = ["start_unix_us", "service_name", "http_route", "status", "duration_us"]
 
 
 def span_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return TR.once(read(spark, d, "spans")).select("trace_id", "span_id", "service_name", "duration_us", "status")
+    return TR.once(read(spark, d, "spans"), "service_name", "duration_us", "status").select("trace_id", "span_id", "service_name", "duration_us", "status")
 
 
 def span_group_max(spark, d):
-    spans = TR.once(read(spark, d, "spans"))
+    spans = TR.once(read(spark, d, "spans"), "service_name", "http_route", "http_method", "start_unix_us")
     return spans.filter("http_route is not null").groupBy("service_name", "http_route", "http_method").agg(F.max("start_unix_us").alias("last_us"), F.count("*").alias("hits"))
 
 
 def client_parent_pairs(spark, d):
-    return R.client_pairs(TR.once(read(spark, d, "spans")))
+    return R.client_pairs(TR.once(read(spark, d, "spans"), *R.PAIR_COLUMNS))
 
 
 def path_normalise(spark, d):
@@ -43,7 +44,7 @@ def template_match(spark, d):
 
 
 def promote_routes(spark, d):
-    return R.route_hits(TR.once(read(spark, d, "spans")), read(spark, d, "routes"))
+    return R.route_hits(TR.once(read(spark, d, "spans"), *R.HIT_COLUMNS), read(spark, d, "routes"))
 
 
 def promotion_report(spark, d):
@@ -57,7 +58,7 @@ def _observed_requests(spark, d):
     services = routes.select(F.col("service_name").alias("service")).distinct()
     hosts = services.select(F.col("service").alias("host"), "service").unionByName(services.select(F.concat("service", F.lit(".svc.example")).alias("host"), "service"))
     ports = spark.createDataFrame([], "port int, service string")
-    pairs = R.service_at(R.client_pairs(TR.once(read(spark, d, "spans"))), hosts, ports)
+    pairs = R.service_at(R.client_pairs(TR.once(read(spark, d, "spans"), *R.PAIR_COLUMNS)), hosts, ports)
     callee = routes.groupBy(F.col("service_name").alias("callee_service"), F.col("url").alias("http_route"), F.col("method").alias("_m")).agg(F.min("node_id").alias("dst_node_id"))
     caller = routes.groupBy(F.col("service_name").alias("parent_service"), F.col("url").alias("caller_route")).agg(F.min("node_id").alias("src_node_id"))
     named = pairs.withColumn("_m", F.coalesce("http_method", F.lit("GET"))).join(callee, ["callee_service", "http_route", "_m"]).join(caller, ["parent_service", "caller_route"])
@@ -66,7 +67,7 @@ def _observed_requests(spark, d):
 
 def promote_edges(spark, d):
     """Parent-child service calls as observed edges between the services' first routes."""
-    spans = TR.once(read(spark, d, "spans"))
+    spans = TR.once(read(spark, d, "spans"), "parent_span_id", "service_name", "start_unix_us")
     child = spans.filter("parent_span_id <> ''").select("trace_id", F.col("parent_span_id").alias("span_id"), F.col("service_name").alias("callee"), "start_unix_us")
     parent = spans.select("trace_id", "span_id", F.col("service_name").alias("caller"))
     calls = child.join(parent, ["trace_id", "span_id"]).filter("caller <> callee").groupBy("caller", "callee").agg(F.max("start_unix_us").alias("last_us"))
@@ -77,11 +78,11 @@ def promote_edges(spark, d):
 
 def touch_forward_only(spark, d):
     hits = promote_routes(spark, d).filter("node_id is not null").select("node_id", F.timestamp_micros("last_us").cast("timestamp_ntz").alias("seen_at"))
-    return R.touch_forward_only(G.edges_once(read(spark, d, "edges")), hits).select("edge_id", "last_observed_at")
+    return R.touch_forward_only(G.edges_once(read(spark, d, "edges"), "edge_id", "last_observed_at"), hits).select("edge_id", "last_observed_at")
 
 
 def errored_traces_topk(spark, d):
-    return TR.errored_traces(TR.once(read(spark, d, "spans")), ERRORED_LIMIT)
+    return TR.errored_traces(TR.once(read(spark, d, "spans"), "status", "parent_span_id", "start_unix_us"), ERRORED_LIMIT)
 
 
 def trace_root_cause(spark, d):
@@ -89,7 +90,7 @@ def trace_root_cause(spark, d):
 
 
 def tail_sample(spark, d):
-    return TR.tail_sample(TR.once(read(spark, d, "spans")), SAMPLE_RATE).select("trace_id", "span_id", "status")
+    return TR.tail_sample(TR.once(read(spark, d, "spans"), "status"), SAMPLE_RATE).select("trace_id", "span_id", "status")
 
 
 def _stream_folder(spark):
@@ -132,15 +133,15 @@ def _plain(column):
 
 
 def window_tumbling(spark, d):
-    return traffic_windows(TR.once(read(spark, d, "spans")), "6 hours").select(_plain("window_start"), "service_name", "http_route", "n_spans", "n_errors", "duration_us")
+    return traffic_windows(TR.once(read(spark, d, "spans"), *TRAFFIC), "6 hours").select(_plain("window_start"), "service_name", "http_route", "n_spans", "n_errors", "duration_us")
 
 
 def window_sliding(spark, d):
-    return traffic_windows(TR.once(read(spark, d, "spans")), "1 day", "6 hours").groupBy(_plain("window_start")).agg(F.sum("n_spans").alias("n_spans"))
+    return traffic_windows(TR.once(read(spark, d, "spans"), *TRAFFIC), "1 day", "6 hours").groupBy(_plain("window_start")).agg(F.sum("n_spans").alias("n_spans"))
 
 
 def window_session(spark, d):
-    return service_sessions(TR.once(read(spark, d, "spans")), "10 minutes").select("service_name", _plain("session_start"), _plain("session_end"), "n_spans")
+    return service_sessions(TR.once(read(spark, d, "spans"), "start_unix_us", "service_name"), "10 minutes").select("service_name", _plain("session_start"), _plain("session_end"), "n_spans")
 
 
 # Security and routes
@@ -232,7 +233,7 @@ def error_surface(spark, d):
     seeds = _chain(spark, d).filter("symbol_node_id is not null").select(F.col("route_node_id").alias("seed"), F.col("symbol_node_id").alias("node_id"))
     reached = G.reach(read(spark, d, "edges"), seeds, G.REACH_TYPES, expand=symbols)
     exits = read(spark, d, "function_cfg").filter("outcome = 'error_exit'").groupBy(F.col("symbol_node_id").alias("node_id")).agg(F.count("*").alias("exits"), F.collect_set("start_line").alias("lines"))
-    throws = G.edges_once(read(spark, d, "edges")).filter("type = 'THROWS'").select(F.col("src_node_id").alias("node_id"), "line")
+    throws = G.edges_once(read(spark, d, "edges"), "edge_id").filter("type = 'THROWS'").select(F.col("src_node_id").alias("node_id"), "line")
     # A throw on a line that control flow already reports is that exit, not another.
     fresh = throws.join(exits.select("node_id", "lines"), "node_id", "left").filter("lines is null or line is null or not array_contains(lines, line)").groupBy("node_id").agg(F.count("*").alias("throws"))
     return reached.join(exits.select("node_id", "exits"), "node_id", "left").join(fresh, "node_id", "left").groupBy(F.col("seed").alias("route_node_id")).agg(F.coalesce(F.sum("exits"), F.lit(0)).alias("error_exits"), F.coalesce(F.sum("throws"), F.lit(0)).alias("throws"))
@@ -240,7 +241,7 @@ def error_surface(spark, d):
 
 def error_correlation(spark, d):
     """Observed errors per route beside its static ones: neither pass filters the other."""
-    observed = TR.once(read(spark, d, "spans")).filter("status = 'error' and http_route is not null").groupBy("service_name", F.col("http_route").alias("url")).agg(F.count("*").alias("n_errors"), F.countDistinct("trace_id").alias("n_traces"))
+    observed = TR.once(read(spark, d, "spans"), "status", "http_route", "service_name").filter("status = 'error' and http_route is not null").groupBy("service_name", F.col("http_route").alias("url")).agg(F.count("*").alias("n_errors"), F.countDistinct("trace_id").alias("n_traces"))
     static = read(spark, d, "routes").join(error_surface(spark, d), F.col("node_id") == F.col("route_node_id"), "left").groupBy("service_name", "url").agg(F.coalesce(F.sum(F.col("error_exits") + F.col("throws")), F.lit(0)).alias("n_static"))
     return observed.join(static, ["service_name", "url"], "full").select("service_name", "url", "n_errors", "n_traces", "n_static")
 

@@ -177,7 +177,7 @@ def search_docs_union(spark, d):
 
 
 def context_tiers(spark, d):
-    return CX.tiers(read(spark, d, "nodes"), G.edges_once(read(spark, d, "edges")), read(spark, d, "function_cfg"), _seed(spark, d)).groupBy("seed", "tier").agg(F.count("*").alias("n_items"))
+    return CX.tiers(read(spark, d, "nodes"), read(spark, d, "edges"), read(spark, d, "function_cfg"), _seed(spark, d)).groupBy("seed", "tier").agg(F.count("*").alias("n_items"))
 
 
 def _seed(spark, d):
@@ -187,7 +187,7 @@ def _seed(spark, d):
 
 def tier_budget_pack(spark, d):
     seeds = _seed(spark, d)
-    rows = CX.tiers(read(spark, d, "nodes"), G.edges_once(read(spark, d, "edges")), read(spark, d, "function_cfg"), seeds)
+    rows = CX.tiers(read(spark, d, "nodes"), read(spark, d, "edges"), read(spark, d, "function_cfg"), seeds)
     return CX.pack(rows, seeds).select("tier", "n_items", "cost", "included")
 
 
@@ -198,20 +198,20 @@ def cache_misses(spark, d):
     return SU.cache_misses(wanted, cached).groupBy("kind").agg(F.count("*").alias("n"), F.max("input_sha256").alias("last_sha256"))
 
 
-_DIFF = [
-    "diff --git a/server.js b/server.js", "--- a/server.js", "+++ b/server.js", "@@ -120,3 +120,4 @@ handler", " a", "+b", "@@ -200 +201 @@", "@@ -300,2 +300,0 @@",
-    "--- a/gone.py", "+++ /dev/null", "@@ -1,9 +0,0 @@", "--- a/lib/x.ts", "+++ b/lib/x.ts", "@@ -1,2 +1,5 @@", "@@ -9,0 +13,2 @@",
-]
-
-
 def diff_carry_forward(spark, d):
-    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(_DIFF)], "diff_id int, line_no int, text string")
-    return hunks(lines).select("file", "first", "last")
+    """Hunks of a unified diff in which every line with an edge grew, shrank or went, file by file."""
+    named = read(spark, d, "files").select("file_id", "path")
+    at = read(spark, d, "edges").filter("file_id is not null and line is not null").select("file_id", "line").distinct().join(named, "file_id")
+    headers = at.select("file_id", "path").distinct().select(F.lit(1).alias("diff_id"), (F.col("file_id") * 1_000_000).alias("line_no"), F.concat(F.lit("+++ b/"), "path").alias("text"))
+    kept = F.col("line") % 4
+    size = F.when(kept == 1, "").otherwise(F.concat(F.lit(","), kept.cast("string")))
+    bodies = at.select(F.lit(1).alias("diff_id"), (F.col("file_id") * 1_000_000 + F.col("line") + 1).alias("line_no"), F.concat(F.lit("@@ -"), "line", F.lit(",2 +"), "line", size, F.lit(" @@ around")).alias("text"))
+    return hunks(headers.unionByName(bodies)).select("file", "first", "last")
 
 
 def route_edges_graph(spark, d):
     """Nodes and edges of the picture of all routes: each distinct link once, with its weakest sign."""
-    edges = G.edges_once(read(spark, d, "edges")).filter("type in ('HANDLES', 'REQUESTS')")
+    edges = G.edges_once(read(spark, d, "edges"), "confidence").filter("type in ('HANDLES', 'REQUESTS')")
     kinds = read(spark, d, "nodes").select("node_id", "kind")
     named = edges.join(kinds.toDF("src_node_id", "src_kind"), "src_node_id", "left").join(kinds.toDF("dst_node_id", "dst_kind"), "dst_node_id", "left")
     return named.groupBy("type", "src_kind", "dst_kind").agg(F.countDistinct("src_node_id", "dst_node_id").alias("links"), F.count_if(F.col("confidence") == "unresolved").alias("unresolved"))
@@ -231,6 +231,7 @@ QUERIES = {
     )
 }
 
+_UTF16 = r"(length({0}) + length(regexp_replace({0}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
 _PY = "(select file_id from files where lang = 'python')"
 _WORDS = "w as (select doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as ws from documents where text is not null), c as (select doc_id, len(ws) as length, ws from w where len(ws) > 0)"
 
@@ -293,7 +294,7 @@ ORACLE = {
     "semconv_coalesce": """select semconv, coalesce(json_extract_string(attributes, '$."host.pod"'), json_extract_string(attributes, '$."region.zone"')) as place, count(*) as n from spans where attributes is not null group by 1, 2""",
     "sql_literal_read": f"""with l as (select unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) as line from documents), h as (select substr(ltrim(line, ' '), 1, {TX.SQL_HEAD}) as head, lower(regexp_extract(ltrim(line, ' '), '^([a-zA-Z]+)\\b', 1)) as verb from l), r as ({_SQL_READ})
       select verb, "table", operation, count(*) as n from r where "table" <> '' and not regexp_matches("table", '^\\d') group by 1, 2, 3""",
-    "token_estimate": "select doc_id, cast(ceil(length(coalesce(text, '')) / 4.0) as bigint) as tokens from documents",
+    "token_estimate": f"with d as (select doc_id, coalesce(text, '') as t from documents) select doc_id, cast(ceil({_UTF16.format('t')} / 4.0) as bigint) as tokens from d",
     "clip_and_digest": "select doc_id, cast(least(length(coalesce(text, '')), 4000) as int) as clipped, sha256(coalesce(text, '')) as sha256 from documents",
     "phrase_tokens": "select node_id, array_to_string(regexp_extract_all(url, '[\\p{L}\\p{N}]+'), ' ') as tokens, lower(array_to_string(regexp_extract_all(url, '[\\p{L}\\p{N}]+'), '')) as squashed from routes",
     "bm25_and": _bm25_sql(sorted(TERMS), False),
@@ -314,13 +315,13 @@ ORACLE = {
       union all select service_name || ' ' || upper(method) || ' ' || url, 'route', url, method || ' ' || url, '' from routes
       union all select key, kind, string_split(key, '/')[-1], '', key from nodes where kind = 'file'""",
     "context_tiers": f"with {_TIERS} select seed, tier, count(*) as n_items from y group by 1, 2",
-    "tier_budget_pack": f"""with recursive {_TIERS}, sz as (select tier, count(*) as n_items, cast(ceil(sum(length(item) + 3) / 4.0) as bigint) as cost from y group by 1),
+    "tier_budget_pack": f"""with recursive {_TIERS}, sz as (select tier, count(*) as n_items, cast(ceil(sum({_UTF16.format('item')} + 3) / 4.0) as bigint) as cost from y group by 1),
       tn as (select unnest(range({len(CX.TIERS)})) as i, unnest([{', '.join(repr(t) for t in CX.TIERS)}]) as tier),
       ft as (select i, tier, coalesce(n_items, 0) as n_items, coalesce(cost, 0) as cost from tn left join sz using (tier)),
       fold as (select i, tier, n_items, cost, cost <= {CX.BUDGET} as included, case when cost <= {CX.BUDGET} then cost else 0 end as spent from ft where i = 0
         union all select f.i, f.tier, f.n_items, f.cost, p.spent + f.cost <= {CX.BUDGET}, p.spent + case when p.spent + f.cost <= {CX.BUDGET} then f.cost else 0 end from fold p join ft f on f.i = p.i + 1)
       select tier, n_items, cost, included from fold""",
-    "diff_carry_forward": "select * from (values ('server.js', 120, 123), ('server.js', 201, 201), ('lib/x.ts', 1, 5), ('lib/x.ts', 13, 14)) t(file, first, last)",
+    "diff_carry_forward": "select path as file, line as first, line + line % 4 - 1 as last from (select distinct file_id, line from edges where file_id is not null and line is not null) join files using (file_id) where line % 4 > 0",
     "route_edges_graph": f"""select e.type, a.kind as src_kind, b.kind as dst_kind, count(distinct (src_node_id, dst_node_id)) as links, count(*) filter (where confidence = 'unresolved') as unresolved
       from {EDGES_SQL} e left join nodes a on a.node_id = src_node_id left join nodes b on b.node_id = dst_node_id where e.type in ('HANDLES', 'REQUESTS') group by 1, 2, 3""",
     "runs_per_channel": "select repo_id, channel, run_id, commit_sha, finished_at is not null as finished from runs qualify row_number() over (partition by repo_id, channel order by started_at desc, run_id desc) = 1",

@@ -92,6 +92,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, size: int = 64 << 20) -> int:
+    """Partitions for a shuffle of ``df``: the session's number, more if its sources need more at ``size`` bytes each."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [b for i in range(leaves.size()) if (b := int(str(leaves.apply(i).stats().sizeInBytes()))) < 1 << 60]
+    return max(shuffle_partitions(df.sparkSession), -(-sum(known) // size))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on at least as many partitions as there are cores, for work heavy on each row.
 

@@ -6,10 +6,11 @@ import json
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import path_allowed
+from spanloom.operators.ranged import carry_forward
 
 # Folders that hold no sources, extensions of the languages understood.
 SKIPPED = ["node_modules", ".git", "dist", "build", "coverage", "__pycache__", ".venv", "venv"]
@@ -40,9 +41,8 @@ def hunks(lines: DataFrame, diff: str = "diff_id", at: str = "line_no", text: st
     """
     header = F.col(text).startswith("+++ ")
     name = F.regexp_replace(F.regexp_extract(text, r"^\+\+\+ (\S.*?)\s*$", 1), "^b/", "")
-    marked = lines.withColumn("_file", F.when(header, name))
-    order = Window.partitionBy(diff).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    filed = marked.withColumn("file", F.last("_file", ignorenulls=True).over(order))
+    marked = lines.filter(header | F.col(text).startswith("@@")).select(diff, at, text, F.when(header, name).alias("file"))
+    filed = carry_forward(marked, [diff], [at], "file", "diff-files")
     found = filed.filter(F.col(text).startswith("@@") & (F.col("file") != "/dev/null") & (F.col("file") != ""))
     pattern = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     first = F.regexp_extract(text, pattern, 1).try_cast("int")
@@ -58,8 +58,7 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("log"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("text"))
     commit = F.when(F.col("text").contains("\u001f"), F.split("text", "\u001f"))
-    order = Window.partitionBy("log").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("c", F.last(commit, ignorenulls=True).over(order))
+    rows = carry_forward(lines.withColumn("c", commit), ["log"], ["n"], "c", "log-commits")
     return rows.filter(~F.col("text").contains("\u001f") & (F.trim("text") != "") & F.col("c").isNotNull()).select(F.col("c")[0].alias("sha"), F.col("c")[1].alias("date"), F.col("c")[2].alias("author"), F.trim("text").alias("file"))
 
 
