@@ -8,6 +8,7 @@ number of times plus, by a seeded hash, one more.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -44,23 +45,33 @@ PLAN = T.StructType(
 
 
 def water_fill(targets: list[tuple[str, float, int, int]], budget: int) -> list[Share]:
-    """Plan for (source, target_share, repeat_cap, tokens) rows and a total of ``budget`` tokens."""
+    """Plan for (source, target_share, repeat_cap, tokens) rows and a total of ``budget`` tokens.
+
+    ``reachable`` is false for the sources that the first fill clamps below their share; later
+    fills clamp sources that reach theirs, but not what others leave them.
+    """
     planned = {s: 0.0 for s, *_ in targets}
     open_sources = {s: (share, cap * tokens) for s, share, cap, tokens in targets if share > 0}
     clamped: set[str] = set()
-    left = float(budget)
+    short: set[str] = set()
+    left, level = float(budget), None
     while open_sources and left > 0:
-        weight = sum(share for share, _ in open_sources.values())
-        over = [s for s, (share, most) in open_sources.items() if share / weight * left >= most]
+        # Tokens per unit of share: of the first fill the budget itself, as shares are of the whole.
+        whole = math.fsum(share for share, _ in open_sources.values())
+        level = left / (1.0 if level is None and math.isclose(whole, 1.0, rel_tol=1e-9) else whole)
+        over = [s for s, (share, most) in open_sources.items() if share * level >= most]
+        if not clamped:
+            # Clamped below what the first fill gives: the source cannot reach its own share.
+            short = {s for s in over if open_sources[s][0] * level > open_sources[s][1]}
         if not over:
             for s, (share, _) in open_sources.items():
-                planned[s] = share / weight * left
+                planned[s] = share * level
             break
         for s in over:
             planned[s] = float(open_sources.pop(s)[1])
             clamped.add(s)
         left = budget - sum(planned[s] for s in clamped)
-    return [Share(s, share, cap, tokens, tokens * cap >= share * budget, s in clamped, planned[s], planned[s] / tokens if tokens else 0.0) for s, share, cap, tokens in targets]
+    return [Share(s, share, cap, tokens, s not in short, s in clamped, planned[s], planned[s] / tokens if tokens else 0.0) for s, share, cap, tokens in targets]
 
 
 def plan_mix(tokens: DataFrame, targets: DataFrame, source: str = "source", size: str = "n_tokens", budget: int | None = None) -> DataFrame:

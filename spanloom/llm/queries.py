@@ -9,13 +9,14 @@ from spanloom.llm.cooccurrence import cooccurring_pairs
 from spanloom.llm.mixing import plan_mix, reached_shares, sample_mix
 from spanloom.llm.percentiles import merge_counts, percentiles, value_counts
 from spanloom.llm.rank_fusion import best_items, median_ranks, positions
-from spanloom.llm.reading_level import assign_levels, train
+from spanloom.llm.reading_level import assign_levels, formula_labels, train
 from spanloom.llm.tokenization import count_tokens, decode_corpus, encode_corpus
 from spanloom.session import stage
 
 PAIR_SUPPORT, PAIR_LIFT = 5, 6
 MIN_SPANS, SPREAD = 20, 8
 HARD_LEVEL = 4
+DAYS_ERROR = 0.01
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,11 +76,16 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_days_combined(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles within 1 % from states kept per day, combined over all days."""
-    days = _spans_once(spark, d).withColumn("day", F.to_date(F.timestamp_micros("start_unix_us")))
-    kept = stage(value_counts(days, [*_GROUP, "day"], "duration_us", 0.01), "day-states")
-    state = merge_counts([kept.select(*_GROUP, "value", "n")], _GROUP)
-    return _wide(percentiles(state, _GROUP, [0.5, 0.95]), {"p50": 0.5, "p95": 0.95})
+    """Percentiles within 1 %, from a state of the even days and one of the odd days, and their true error."""
+    spans = stage(_spans_once(spark, d), "spans-once")
+    even = F.to_date(F.timestamp_micros("start_unix_us")).cast("timestamp").cast("long") / 86400 % 2 == 0
+    states = [stage(value_counts(spans.filter(days), _GROUP, "duration_us", DAYS_ERROR), "day-states") for days in (even, ~even | even.isNull())]
+    shares = {"p50": 0.5, "p95": 0.95}
+    near = _wide(percentiles(merge_counts(states, _GROUP), _GROUP, list(shares.values())), shares)
+    true = _wide(percentiles(value_counts(spans, _GROUP, "duration_us"), _GROUP, list(shares.values())), {f"_{c}": p for c, p in shares.items()}).drop("n_spans")
+    off = lambda c: F.when(F.col(f"_{c}") == 0, F.col(c)).otherwise(F.abs(F.col(c) - F.col(f"_{c}")) / F.col(f"_{c}"))
+    both = near.join(true.toDF(*(f"_{c}" for c in _GROUP), *true.columns[2:]), F.col("service_name").eqNullSafe(F.col("_service_name")) & F.col("http_route").eqNullSafe(F.col("_http_route")))
+    return both.select(*_GROUP, "n_spans", *(F.round(c, 4).alias(c) for c in shares), *((off(c) <= DAYS_ERROR).alias(f"{c}_within") for c in shares))
 
 
 # Problem 7
@@ -132,7 +138,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_levels(spark, d).filter(F.col("reading_level") >= HARD_LEVEL).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_pairs, p4_found, p4_percentiles, p4_days_combined, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p9_found, p9_levels)}
+def p9_seeded(spark: SparkSession, d: str) -> DataFrame:
+    """Levels by models whose seeds are the readability formula alone, as where nothing is labelled."""
+    docs = read(spark, d, "documents")
+    return assign_levels(docs, train(docs, formula_labels(docs)))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_pairs, p4_found, p4_percentiles, p4_days_combined, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p9_found, p9_levels, p9_seeded)}
 
 _RANKS = """
   s as (select h.query_id, h.build_id, h.node_key, min(case when b.score_order = 'asc' then score else -score end) as v
@@ -156,7 +168,11 @@ _SHARES = """
   k as (select service_name, http_route, v, row_number() over (partition by service_name, http_route order by v) as k, count(*) over (partition by service_name, http_route) as n from o where v is not null),
   w as (select service_name, http_route, max(n) as n_spans, """ + ", ".join(f"cast(min(v) filter (where k >= ceil({p}::double * n)) as double) as p{p[2:].ljust(2, '0')}" for p in ("0.5", "0.9", "0.95", "0.99")) + """ from k group by 1, 2)"""
 
+_RATIO = f"({1 + DAYS_ERROR}::double / {1 - DAYS_ERROR}::double)"
+_CELL = "round(case when {0} = 0 then 0 else pow(" + _RATIO + ", ceil(ln({0}) / ln(" + _RATIO + "))) * 2 / (" + _RATIO + " + 1) end, 4)"
+
 ORACLE = {
+    "p4_days_combined": f"with {_SHARES} select service_name, http_route, n_spans, {_CELL.format('p50')} as p50, {_CELL.format('p95')} as p95, true as p50_within, true as p95_within from w",
     "p1_found": f"with {_RANKS} select query_id, node_key from p where position = 1",
     "p1_ranking": f"with {_RANKS} select * from p",
     "p2_found": f"with {_PAIRS} select service_name, item_a as function_a, item_b as function_b from q where n_ab * n_records >= {PAIR_LIFT} * n_a * n_b",

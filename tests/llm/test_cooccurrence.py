@@ -67,3 +67,14 @@ def test_popcounts():
 def test_empty_and_single_items(spark):
     assert cooccurring_pairs(spark.createDataFrame([], SCHEMA), "r", "i", "g").count() == 0
     assert cooccurring_pairs(spark.createDataFrame([("g", "1", "a", 0), ("g", "2", "b", 0), ("g", "1", "a", 0)], SCHEMA), "r", "i", "g").count() == 0
+
+
+@pytest.mark.parametrize("share", [1 / 2048, 0.02])
+def test_wide_records_are_dealt_and_nothing_changes(spark, monkeypatch, share):
+    random.seed(3)
+    data = [("s", f"t{t}", f"f{random.randint(0, 90)}") for t in range(6) for _ in range(60)] + [("s", f"u{t}", f"f{t % 7}") for t in range(30)]
+    df = spark.createDataFrame(data, "service string, trace string, fn string")
+    go = lambda: sorted(tuple(r) for r in cooccurring_pairs(df, "trace", "fn", "service", 1, share).collect())
+    plain = go()
+    monkeypatch.setattr(module, "WIDE_RECORD", 8)
+    assert go() == plain and len(plain) > 500

@@ -54,3 +54,41 @@ def test_found_rule_and_empty_tables(spark):
     assert sample_mix(none, empty).count() == 0 and reached_shares(sample_mix(none, empty), empty).first().reached_share == 0
     nulls = spark.createDataFrame([(1, "a", None, 0)], TOKENS)
     assert plan_mix(nulls, spark.createDataFrame([("a", None, None)], TARGETS)).first().tokens == 0
+
+
+def test_first_fill_decides_what_is_reachable():
+    import random
+
+    from spanloom.llm.mixing import water_fill
+
+    random.seed(5)
+    for _ in range(300):
+        n = random.randint(1, 8)
+        raw = [random.randint(0, 6) for _ in range(n)]
+        shares = [r / (sum(raw) or 1) for r in raw]
+        sizes = [random.choice([0, 10, 100, random.randint(1, 400)]) for _ in range(n)]
+        caps, budget = [random.randint(1, 4) for _ in range(n)], sum(sizes) + random.randint(0, 300)
+        plan = water_fill([(str(i), shares[i], caps[i], sizes[i]) for i in range(n)], budget)
+        # Brute force: one comparison per source. Ties of exact arithmetic may fall either way by rounding.
+        for i, p in enumerate(plan):
+            short = shares[i] * budget - caps[i] * sizes[i]
+            if abs(short) > 1e-6:
+                assert p.reachable is (short < 0), (p, budget)
+            assert p.planned_tokens <= caps[i] * sizes[i] + 1e-6 and p.epochs <= caps[i] + 1e-9
+            if not p.reachable:
+                assert p.clamped and p.planned_tokens == caps[i] * sizes[i]
+        assert sum(p.planned_tokens for p in plan) <= budget + 1e-6
+
+
+def test_mix_keeps_caps_and_comes_near_its_plan(spark):
+    from spanloom.llm.mixing import plan_mix, reached_shares, sample_mix
+
+    docs = spark.range(0, 4000).selectExpr("id as doc_id", "case when id % 10 < 6 then 'big' when id % 10 < 9 then 'mid' when id % 50 = 9 then 'tiny' end as source", "1 + id % 7 as n_tokens")
+    targets = spark.createDataFrame([("big", 0.3, 1), ("mid", 0.5, 3), ("tiny", 0.2, 2), ("none", 0.0, 5)], "source string, target_share double, repeat_cap int")
+    plan = plan_mix(docs, targets)
+    got = {r.source: r for r in reached_shares(sample_mix(docs, plan), plan).collect()}
+    whole = docs.agg({"n_tokens": "sum"}).first()[0]
+    assert not got["tiny"].reachable and got["tiny"].most_copies == 2 and got["none"].mix_tokens == 0
+    for r in got.values():
+        assert r.most_copies <= r.repeat_cap and abs(r.mix_tokens - r.planned_tokens) < 0.03 * whole
+    assert abs(sum(r.reached_share for r in got.values()) - 1) < 1e-9
