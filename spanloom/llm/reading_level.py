@@ -48,6 +48,23 @@ def _bucketed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("_id"), F.coalesce(hashed, F.array().cast("array<int>")).alias("_w"))
 
 
+def _level_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts per (level, bucket) of rows (level, buckets), and of rows per level as bucket -1."""
+    counts = np.zeros((len(LEVELS), BUCKETS + 1), np.int64)
+    for batch in batches:
+        bags = batch.column(1)
+        sizes = np.diff(bags.offsets.to_numpy())
+        known = sizes >= MIN_WORDS
+        level = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) - LEVELS[0]
+        flat = bags.flatten().to_numpy(zero_copy_only=False)
+        each = np.repeat(np.where(known, level, -1), sizes)
+        for i in range(len(LEVELS)):
+            counts[i, 1:] += np.bincount(flat[each == i], minlength=BUCKETS)
+            counts[i, 0] += int((known & (level == i)).sum())
+    at, bucket = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array((at + LEVELS[0]).astype(np.int32)), pa.array((bucket - 1).astype(np.int32)), pa.array(counts[at, bucket])], names=["level", "bucket", "n"])
+
+
 @dataclass
 class LevelModel:
     """Log probabilities (level, bucket) and log priors."""
@@ -75,14 +92,15 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     rated = labels.filter(F.col(level).isin(*LEVELS)).select(F.col(key).alias("_lid"), F.col(level).cast("int").alias("_level")).filter("_lid is not null")
     rated = F.broadcast(rated.orderBy(F.xxhash64("_lid", "_level"), "_lid", "_level").limit(train_rows))
     known = spread(documents.select(key, text)).join(rated, F.col(key) == F.col("_lid")).select(F.struct(F.col("_lid"), F.col("_level")).alias("_both"), F.col(text).alias("_t"))
-    bags = _bucketed(known, "_both", "_t").filter(F.size("_w") >= MIN_WORDS)
-    counted = bags.select(F.col("_id._level").alias("level"), F.explode(F.concat("_w", F.array(F.lit(-1)))).alias("bucket")).groupBy("level", "bucket").count()
+    bags = _bucketed(known.select("_both", "_t"), "_both", "_t")
+    # Counted past Catalyst's reach: a filter on the words would be pushed below the join, to all texts.
+    counted = bags.select("_id._level", "_w").mapInArrow(_level_counts, "level int, bucket int, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n"))
     word, prior = np.zeros((len(LEVELS), BUCKETS)), np.zeros(len(LEVELS))
     for row in counted.toLocalIterator():
         if row["bucket"] < 0:
-            prior[row["level"] - LEVELS[0]] = row["count"]
+            prior[row["level"] - LEVELS[0]] = row["n"]
         else:
-            word[row["level"] - LEVELS[0], row["bucket"]] = row["count"]
+            word[row["level"] - LEVELS[0], row["bucket"]] = row["n"]
     if seed and not prior.any():
         return train(documents, formula_labels(documents, key, text).withColumnRenamed("reading_level", level), key, text, level, train_rows)
     word += SMOOTHING
