@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import symbols as S
-from spanloom.functions.text import utf16_length
+from spanloom.functions.text import estimate_tokens, utf16_length
 
 # Tiers in the order they are tried; gaps are always in.
 TIERS = ["seed", "callees", "callers", "routes", "config", "datastores", "errors", "siblings", "control_flow"]
@@ -51,7 +51,26 @@ def pack(rows: DataFrame, seeds: DataFrame, budget: int = BUDGET, reserved: int
     return packed.select("seed", "x.tier", "x.n_items", "x.cost", "x.included")
 
 
-def token_delta(packed: DataFrame, file_tokens: DataFrame) -> DataFrame:
+def source_of(seeds: DataFrame, symbols: DataFrame, files: DataFrame, sources: DataFrame) -> DataFrame:
+    """(seed, path, text, tokens): the lines of each seed's own definition."""
+    at = seeds.join(symbols.select("node_id", "file_id", "start_line", "end_line"), F.col("seed") == F.col("node_id")).join(files.select("file_id", "path"), "file_id").join(sources.select("path", "content"), "path")
+    lines = F.slice(F.split("content", "\r\n|\r|\n"), F.greatest(F.lit(1), F.col("start_line")), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1))
+    return at.select("seed", "path", F.array_join(lines, "\n").alias("text")).withColumn("tokens", estimate_tokens(F.col("text")))
+
+
+def touched_files(seeds: DataFrame, edges: DataFrame, symbols: DataFrame, files: DataFrame, sources: DataFrame) -> DataFrame:
+    """(seed, dump_tokens): the size of all files that hold a seed or a symbol next to it."""
+    links = edges.select("src_node_id", "dst_node_id")
+    near = seeds.select("seed", F.col("seed").alias("node_id")).unionByName(seeds.join(links, F.col("seed") == F.col("src_node_id")).select("seed", F.col("dst_node_id").alias("node_id"))).unionByName(seeds.join(links, F.col("seed") == F.col("dst_node_id")).select("seed", F.col("src_node_id").alias("node_id")))
+    held = near.join(symbols.select("node_id", "file_id"), "node_id").select("seed", "file_id").distinct()
+    sizes = files.select("file_id", "path").join(sources.select("path", estimate_tokens(F.col("content")).alias("_t")), "path")
+    return held.join(sizes, "file_id").groupBy("seed").agg(F.sum("_t").alias("dump_tokens"))
+
+
+def token_delta(packed: DataFrame, file_tokens: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """(seed, packed_tokens, dump_tokens, ratio): the pack against dumping the seed's files whole."""
-    spent = packed.filter("included").groupBy("seed").agg(F.sum("cost").alias("packed_tokens"))
+    parts = packed.filter("included").select("seed", F.col("cost").alias("_t"))
+    if source is not None:
+        parts = parts.unionByName(source.select("seed", F.col("tokens").alias("_t")))
+    spent = parts.groupBy("seed").agg(F.sum("_t").alias("packed_tokens"))
     return spent.join(file_tokens, "seed", "left").withColumn("ratio", F.when(F.col("dump_tokens") > 0, F.col("packed_tokens") / F.col("dump_tokens")))

@@ -13,6 +13,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import symbols as S
 from spanloom.functions.confidence import name_of, rank
 from spanloom.session import stage, stage_counting
 
@@ -106,6 +107,51 @@ def walk(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int =
     return rows.select("position", "path", "edge_path", "node_id", "depth", "type", "line", name_of(F.col("_rank")).alias("path_confidence"), cycle.alias("cycle"), ((F.col("depth") == max_depth) & F.col("_x").isNotNull() & ~cycle).alias("truncated"))
 
 
+def call_tree(calls: DataFrame, roots: DataFrame, unresolved: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Call trees over derived calls alone, as from an index without a store.
+
+    ``calls`` has src_symbol, dst_symbol, path, line, col, confidence; ``roots`` has position,
+    symbol, packages (those that are not a boundary; null: none is) and the start low, low_col
+    and end high of the lines that bound the root's own calls (null: unbounded).
+    ``unresolved`` has src_symbol, target, reason, path, line, col.
+
+    Rows: position, way (the lines on the way down, for order), symbols (root to node), symbol,
+    depth, edge, path_confidence, path, line, reason, external, cycle, truncated. A caller
+    has one branch per callee, the first by line. Externals, cycles and ``max_depth`` end a
+    branch, each marked; a call without a target is a branch of its own with its reason.
+    """
+    local = F.col("packages").isNull() | F.array_contains("packages", S.package_of(F.col("symbol")))
+    start = roots.select("position", F.array().cast("array<int>").alias("way"), F.array("symbol").alias("symbols"), "symbol", F.lit(0).alias("depth"), F.lit("certain").alias("edge"), F.lit(3).alias("_rank"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("reason"), "packages", F.col("low").cast("int").alias("_low"), F.col("low_col").cast("int").alias("_col"), F.col("high").cast("int").alias("_high"))
+    targets = calls.select(F.col("src_symbol").alias("_src"), F.col("dst_symbol").alias("_dst"), F.col("path").alias("_path"), F.col("line").alias("_line"), F.col("col").alias("_at"), F.col("confidence").alias("_sure"), F.lit(None).cast("string").alias("_why"))
+    if unresolved is not None:
+        gaps = unresolved.select(F.col("src_symbol").alias("_src"), F.col("target").alias("_dst"), F.col("path").alias("_path"), F.col("line").alias("_line"), F.col("col").alias("_at"), F.lit("unresolved").alias("_sure"), F.coalesce("reason", F.lit("unresolved")).alias("_why"))
+        targets = targets.unionByName(gaps)
+    targets = stage(targets.distinct(), "tree-calls")
+    in_scope = F.col("_low").isNull() | (F.col("_line") <= F.col("_high")) & ((F.col("_line") > F.col("_low")) | (F.col("_line") == F.col("_low")) & (F.col("_at") >= F.coalesce("_col", F.lit(0))))
+    marked = lambda rows: rows.withColumn("external", ~local | F.col("reason").isNotNull()).withColumn("cycle", F.array_contains(F.slice("symbols", F.lit(1), F.size("symbols") - 1), F.col("symbol")) & F.col("reason").isNull())
+    frontier, n = stage_counting(marked(start), "tree-level")
+    levels = [frontier]
+    for depth in range(1, max_depth + 1):
+        met = frontier.filter("not external and not cycle").join(targets, F.col("symbol") == F.col("_src")).filter(in_scope)
+        # One branch per callee; gaps are not merged.
+        best = met.groupBy("position", "way", "symbols", "packages", "_rank", "_dst", F.when(F.col("_why").isNotNull(), F.struct("_line", "_at", "_why")).alias("_gap")).agg(F.min(F.struct("_line", "_at", "_path", "_sure", "_why")).alias("_b"))
+        grown = best.select(
+            "position", F.concat("way", F.array("_b._line")).alias("way"), F.concat("symbols", F.array("_dst")).alias("symbols"), F.col("_dst").alias("symbol"), F.lit(depth).alias("depth"), F.col("_b._sure").alias("edge"), F.least("_rank", rank(F.col("_b._sure"))).alias("_rank"), F.col("_b._path").alias("path"), F.col("_b._line").alias("line"), F.col("_b._why").alias("reason"), "packages",
+            *(F.lit(None).cast("int").alias(c) for c in ("_low", "_col", "_high")),
+        )
+        frontier, n = stage_counting(marked(grown), "tree-level")
+        if not n:
+            break
+        levels.append(frontier)
+    rows = levels[0]
+    for more in levels[1:]:
+        rows = rows.unionByName(more)
+    callers = targets.filter("_why is null").select(F.col("_src").alias("_x")).distinct()
+    rows = rows.join(callers, F.col("symbol") == F.col("_x"), "left")
+    cut = (F.col("depth") == max_depth) & F.col("_x").isNotNull() & ~F.col("external") & ~F.col("cycle")
+    return rows.select("position", "way", "symbols", "symbol", "depth", "edge", name_of(F.col("_rank")).alias("path_confidence"), "path", "line", "reason", "external", "cycle", cut.alias("truncated"))
+
+
 def closure(edges: DataFrame, seeds: DataFrame, types: list[str], reverse: bool = True, max_depth: int | None = MAX_DEPTH, stop: DataFrame | None = None) -> DataFrame:
     """(seed, node_id, depth, path_confidence) of all nodes linked to each seed.
 

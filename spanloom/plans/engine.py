@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import symbols as S
 from spanloom.functions.confidence import name_of, rank
+from spanloom.functions.text import path_fits
 from spanloom.operators import context as CX
 from spanloom.operators import graph as G
 from spanloom.operators import search as SE
@@ -198,7 +199,9 @@ class Engine:
         surface = guards(self.table("function_cfg").join(reached.select(F.col("node_id").alias("symbol_node_id")), "symbol_node_id", "left_semi"))
         known = surface.select(F.col("symbol_node_id").alias("src_node_id"), F.col("start_line").alias("line"))
         throws = G.edges_once(self.table("edges"), "edge_id").filter("type = 'THROWS'").join(reached.select(F.col("node_id").alias("src_node_id")), "src_node_id", "left_semi").join(known, ["src_node_id", "line"], "left_anti")
-        hit = TR.once(self.table("spans")).filter((F.col("service_name") == service) & (F.col("http_route") == url) & (F.col("http_method").isNull() | (F.col("http_method") == method.upper())))
+        # Spans without a route count by the concrete path they name.
+        of_route = (F.col("http_route") == url) | F.col("http_route").isNull() & F.coalesce(path_fits(F.col("url_path"), F.lit(url)), F.lit(False))
+        hit = self.table("spans").filter((F.col("service_name") == service) & of_route & (F.col("http_method").isNull() | (F.col("http_method") == method.upper())))
         mine = self.table("spans").join(hit.select("trace_id").distinct(), "trace_id", "left_semi")
         observed = TR.root_causes(mine)
         newest = TR.errored_traces(TR.once(mine), limit)
@@ -208,50 +211,84 @@ class Engine:
 
     # Context for one symbol
 
-    def context_pack(self, seed: str, budget: int = CX.BUDGET) -> Answer:
-        """tiers, what was packed of them, and the gaps that are always included."""
+    def context_pack(self, seed: str, budget: int = CX.BUDGET, sources: DataFrame | None = None) -> Answer:
+        """tiers, what was packed of them, and the gaps that are always included.
+
+        With ``sources`` (path, content) the pack begins with the seed's own lines, which count
+        first, and ``delta`` compares it with dumping whole the files its items come from.
+        """
         node, how = self.seed(seed)
         seeds = self._ids("seed", [node])
         gaps = self.table("unresolved_calls").filter(F.col("src_node_id") == node)
         reserved = gaps.agg(F.coalesce(F.sum(F.ceil(F.length(F.concat_ws(" ", "kind", "target_hint", "reason")) / 4)), F.lit(0)).cast("long")).first()[0]
         rows = CX.tiers(self.table("nodes"), self.table("edges"), self.table("function_cfg"), seeds)
+        tables = {"gaps": gaps}
+        if sources is not None:
+            tables["source"] = source = CX.source_of(seeds, self.table("symbols"), self.table("files"), sources)
+            reserved += source.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long")).first()[0]
         packed = CX.pack(rows, seeds, budget, reserved)
-        return Answer({"packed": packed, "items": rows.join(packed.filter("included").select("seed", "tier"), ["seed", "tier"], "left_semi"), "gaps": gaps}, {"node_id": node, "resolved_by": how, "reserved": reserved})
+        if sources is not None:
+            touched = CX.touched_files(seeds, self.table("edges"), self.table("symbols"), self.table("files"), sources)
+            tables["delta"] = CX.token_delta(packed, touched, source)
+        return Answer({"packed": packed, "items": rows.join(packed.filter("included").select("seed", "tier"), ["seed", "tier"], "left_semi"), **tables}, {"node_id": node, "resolved_by": how, "reserved": reserved})
 
     # Search
 
-    def search(self, phrase: str, docs: DataFrame, vectors: DataFrame | None = None, query_vector: list[float] | None = None, top_k: int = 8) -> Answer:
-        """Best keys for a phrase: words, squashed phrase and prefixes as one ranking, vectors as another, fused.
+    def search(self, phrase: str, index: SE.SearchIndex, query_vector: list[float] | None = None, top_k: int = 8, corrected: str | None = None) -> Answer:
+        """Best keys for a phrase: the lexical ranking of the index and its vectors', fused.
 
-        ``docs`` has node_key and text, ``vectors`` node_key and vector. A hit is a seed, not
-        an answer; ``reason`` tells why there is none.
+        A hit is a seed, not an answer; ``reason`` tells why there is none. A ``corrected`` key
+        that exists is taken as it is.
         """
-        import re
-
-        from spanloom.functions.text import squash
-
-        words = re.findall(r"\w+", phrase.replace("_", " "))
         none = self.spark.createDataFrame([], "node_key string, score double, n_sources long")
-        if not words:
+        if corrected is not None and self.table("nodes").filter(F.col("key") == corrected).take(1):
+            return Answer({"hits": self.spark.range(1).select(F.lit(corrected).alias("node_key"), F.lit(1.0).alias("score"), F.lit(1).cast("long").alias("n_sources"))}, {"reason": None, "corrected": True})
+        if not SE.words_of(phrase):
             return Answer({"hits": none}, {"reason": "the phrase has no words"})
-        if not docs.take(1):
+        if index.meta() is None:
             return Answer({"hits": none}, {"reason": "the index is not built"})
-        every = SE.bm25(docs, "node_key", "text", words)
-        starts = SE.bm25(docs, "node_key", "text", words, prefix=True)
-        whole = docs.filter(squash(F.col("text")).contains("".join(words).lower())).select("node_key", F.lit(1.0).alias("score"))
-        lexical = every.unionByName(starts).unionByName(whole).groupBy("node_key").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "node_key").limit(top_k * 4)
+        lexical = index.lexical(phrase, top_k * 4)
         ranked = _ranked(lexical).withColumn("source", F.lit("lexical"))
+        vectors = index.vectors()
         if vectors is not None and query_vector is not None:
-            near = SE.vector_top_k(vectors, "node_key", "vector", query_vector, top_k)
+            near = SE.vector_top_k(vectors, "node_key", "vector", query_vector, top_k * 4)
             ranked = ranked.unionByName(_ranked(near).withColumn("source", F.lit("vector")))
         fused = SE.reciprocal_rank_fusion(ranked, [], "node_key", "rank").orderBy(F.desc("score"), F.desc("n_sources"), "node_key").limit(top_k)
-        return Answer({"hits": fused}, {"reason": None})
+        return Answer({"hits": fused, "lexical": lexical}, {"reason": None})
 
     # Files that change together
 
     def peers_of(self, file: str) -> DataFrame:
         return peers(self.table("co_changed").select("file_a", "file_b", "commits", "support_a", "support_b")).filter(F.col("file") == file)
 
+    # What to ask next of a search hit
+
+    def follow(self, node_key: str) -> Answer:
+        """The question a hit leads to: the flow of a route, the impact of anything else."""
+        row = self.table("nodes").filter(F.col("key") == node_key).orderBy("node_id").first()
+        if row is None:
+            raise NotFound(node_key, [])
+        if row["kind"] != "route":
+            return self.impact(row["node_id"])
+        route = self.table("routes").filter(F.col("node_id") == row["node_id"]).first()
+        if route is None:
+            raise NotFound(node_key, [])
+        return self.endpoint_flow(route["service_name"], route["method"], route["url"])
+
+    # The flow of a route from its artifacts alone
+
+    def artifact_flow(self, chain: DataFrame, calls: DataFrame, packages: list[str] | None = None, unresolved: DataFrame | None = None, max_depth: int = G.MAX_DEPTH) -> Answer:
+        """chain and steps (``call_tree``) of a boot dump's chain and derived calls, without a store.
+
+        ``chain`` has position, phase, symbol, name, line, col, end_line. An anonymous step has
+        only the calls on its own lines.
+        """
+        anonymous = F.col("name").isNull() & F.col("line").isNotNull() & F.col("end_line").isNotNull()
+        bound = lambda c: F.when(anonymous, F.col(c))
+        own = F.array(*(F.lit(p) for p in packages)) if packages else F.lit(None).cast("array<string>")
+        roots = chain.filter("symbol is not null").select(F.concat_ws(":", "position", "phase").alias("position"), "symbol", own.alias("packages"), bound("line").alias("low"), bound("col").alias("low_col"), bound("end_line").alias("high"))
+        return Answer({"chain": chain, "steps": G.call_tree(calls, roots, unresolved, max_depth), "unjoined": chain.filter("symbol is null")})
+
     # The picture of a route
 
     def route_graph(self, answer: Answer) -> tuple[DataFrame, DataFrame]:

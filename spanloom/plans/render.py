@@ -99,3 +99,33 @@ def display(key: str) -> str:
 
 
 __all__ = ["display", "flow_lines", "flow_mermaid", "impact_comment", "impact_lines", "pack_toon", "security_lines"]
+
+
+def error_lines(answer: Answer) -> list[str]:
+    """What did and what can fail, side by side; an empty half says so, since absence is no proof."""
+    seen = answer["observed"].orderBy("trace_id").collect()
+    out = ["observed:"] + [f"  {r.trace_id}: {r.chain}" for r in seen] if seen else ["observed: no errored trace"]
+    static = answer["surface"].orderBy("symbol_node_id", "start_line").collect()
+    out += ["can fail:"] + [f"  {r.error_name or r.exit_form} :{r.start_line}" + (f" if {r.guard}" if r.guard else "") for r in static] if static else ["can fail: no error exit known"]
+    thrown = answer["throws"].count()
+    opaque, gaps = answer["opaque_exits"].count(), answer["unknown"].count()
+    if thrown:
+        out.append(f"{thrown} more thrown errors outside known control flow")
+    if opaque or gaps:
+        out.append(f"not known: {opaque} exits without an outcome, {gaps} calls without a target")
+    return out
+
+
+def report_lines(report) -> list[str]:
+    """An index run (``plans.pipeline.Report``): what changed, what was derived, what was missing."""
+    changes = ", ".join(f"{n} {c}" for c, n in sorted(report.changes.items())) or "no files"
+    if report.skipped:
+        return [f"files: {changes}", "nothing touched, nothing derived"]
+    return [f"files: {changes}", *(f"{name}: {n}" for name, n in sorted(report.rows.items())), *(f"missing: {m}, its facts were not derived" for m in report.missing)]
+
+
+def scan_lines(findings) -> list[str]:
+    """Findings per kind, and the files that could not be read."""
+    kinds = findings.filter("problem is null").groupBy("kind").count().orderBy("kind").collect()
+    broken = findings.filter("problem is not null").select("path", "problem").orderBy("path").collect()
+    return [f"{r['kind']}: {r['count']}" for r in kinds] + [f"! {r.path}: {r.problem}" for r in broken]

@@ -237,6 +237,18 @@ _BLOCKS = """pts as (select distinct edge_id, src_node_id as s, line from edges
   blk as (select pts.edge_id, coalesce(arg_min(c.block_index, (c.end_line - c.start_line) * 100000::bigint + c.block_index), 0) as cfg_block_index
           from pts left join function_cfg c on c.symbol_node_id = pts.s and c.kind <> 'exit' and pts.line between c.start_line and c.end_line group by pts.edge_id)"""
 
+def walk_sql(most: int) -> str:
+    """x: the paths of the first route's chain, at most ``most`` links long."""
+    return f"""with recursive e as {EDGES_SQL},
+      l as (select edge_id, src_node_id as a, dst_node_id as b, type, line, {RANK_SQL} as r from e where type in ({', '.join(repr(t) for t in G.FLOW_TYPES)}) and src_node_id in (select node_id from nodes where kind = 'symbol')),
+      s as (select distinct concat_ws(':', position, phase) as position, symbol_node_id as node_id, case when name is null and line is not null and end_line is not null then line end as low, case when name is null and line is not null and end_line is not null then end_line end as high
+            from route_chain where symbol_node_id is not null and route_node_id = (select min(route_node_id) from route_chain where symbol_node_id is not null)),
+      w as (select position, [node_id] as path, cast([] as bigint[]) as ep, node_id, 0 as depth, cast(null as varchar) as type, cast(null as int) as line, 3 as r, low, high from s
+            union all select w.position, list_append(w.path, l.b), list_append(w.ep, l.edge_id), l.b, w.depth + 1, l.type, l.line, least(w.r, l.r), null, null
+            from w join l on l.a = w.node_id where w.depth < {most} and not list_contains(w.path[2:], l.b) and (w.low is null or l.line between w.low and w.high)),
+      x as (select *, list_contains(path[:-2], node_id) as cycle from w)"""
+
+
 ORACLE = {
     "edge_identity_dedupe": f"select edge_id, src_node_id, dst_node_id, type, evidence_kind from {EDGES_SQL}",
     "edge_type_counts": f"select type, confidence, count(*) as n from {EDGES_SQL} group by 1, 2",
@@ -258,14 +270,7 @@ ORACLE = {
             union select r.seed, l.b, r.depth + 1 from r join l on l.a = r.node_id where r.depth < {G.MAX_DEPTH}),
       u as (select distinct seed, node_id from r)
       select seed, count(*) as n_reached, cast(sum(node_id) as bigint) as id_sum from u group by 1""",
-    "walk_forward": f"""with recursive e as {EDGES_SQL},
-      l as (select edge_id, src_node_id as a, dst_node_id as b, type, line, {RANK_SQL} as r from e where type in ({', '.join(repr(t) for t in G.FLOW_TYPES)}) and src_node_id in (select node_id from nodes where kind = 'symbol')),
-      s as (select distinct concat_ws(':', position, phase) as position, symbol_node_id as node_id, case when name is null and line is not null and end_line is not null then line end as low, case when name is null and line is not null and end_line is not null then end_line end as high
-            from route_chain where symbol_node_id is not null and route_node_id = (select min(route_node_id) from route_chain where symbol_node_id is not null)),
-      w as (select position, [node_id] as path, cast([] as bigint[]) as ep, node_id, 0 as depth, cast(null as varchar) as type, cast(null as int) as line, 3 as r, low, high from s
-            union all select w.position, list_append(w.path, l.b), list_append(w.ep, l.edge_id), l.b, w.depth + 1, l.type, l.line, least(w.r, l.r), null, null
-            from w join l on l.a = w.node_id where w.depth < {G.MAX_DEPTH} and not list_contains(w.path[2:], l.b) and (w.low is null or l.line between w.low and w.high)),
-      x as (select *, list_contains(path[:-2], node_id) as cycle from w)
+    "walk_forward": f"""{walk_sql(G.MAX_DEPTH)}
       select position, array_to_string(ep, '>') as edges, node_id, depth, type, line, {NAME_SQL.format('r')} as path_confidence, cycle, depth = {G.MAX_DEPTH} and not cycle and node_id in (select a from l) as truncated from x""",
     "bucket_truncate": """with r as (select *, row_number() over (partition by method order by url, node_id) as place, count(*) over (partition by method) as n, count(*) over () as total from routes)
       select node_id, method, total from r where place <= case when total <= 25 then n else greatest(1, floor(25 * n / total::double + 0.5)) end""",

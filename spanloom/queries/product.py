@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions import symbols as S
 from spanloom.operators import graph as G
+from spanloom.plans import payload
 from spanloom.plans.engine import Engine
-from spanloom.queries.common import EDGES_SQL, RANK_SQL, SPACES_SQL, read
-from spanloom.queries.graph import _CLOSURE, _hub, _ranges, _spaces
+from spanloom.queries.common import EDGES_SQL, NAME_SQL, RANK_SQL, SPACES_SQL, read
+from spanloom.queries.graph import _CLOSURE, _hub, _ranges, _spaces, walk_sql
 
 #: Rounds of the SQL below; a route that far away is a row too much, and the comparison fails.
 ROUNDS = 40
+#: Links a picture goes from its route.
+PICTURE_DEPTH = 4
 _TABLES = ("nodes", "edges", "routes", "route_chain", "function_cfg")
 
 
@@ -60,7 +64,30 @@ def pr_routes(spark, d):
     return engine.pr_impact(hunks, symbols)["routes"].select("node_id", "service_name", "method", "url", "bucket", "n_seeds")
 
 
-QUERIES = {f.__name__: f for f in (route_links, remote_routes, impact_routes, pr_routes)}
+def artifact_flow(spark, d):
+    """Call trees of every step of every route, from derived calls alone, ended at other packages."""
+    symbols = read(spark, d, "nodes").filter("kind = 'symbol'").select("node_id", "key")
+    calls = read(spark, d, "edges").filter("type = 'CALLS' and evidence_kind = 'scip'").join(symbols.toDF("src_node_id", "src_symbol"), "src_node_id").join(symbols.toDF("dst_node_id", "dst_symbol"), "dst_node_id")
+    calls = calls.select("src_symbol", "dst_symbol", F.col("file_id").cast("string").alias("path"), "line", F.lit(0).alias("col"), "confidence")
+    chain = read(spark, d, "route_chain").join(symbols.toDF("symbol_node_id", "symbol"), "symbol_node_id")
+    none = F.lit(None).cast("int")
+    roots = chain.select(F.concat_ws(":", "route_node_id", "position", "phase").alias("position"), "symbol", F.array(S.package_of(F.col("symbol"))).alias("packages"), none.alias("low"), none.alias("low_col"), none.alias("high")).distinct()
+    tree = G.call_tree(calls, roots)
+    return tree.select("position", F.array_join("symbols", ">").alias("way"), "depth", "line", "path_confidence", "external", "cycle", "truncated")
+
+
+def graph_payload(spark, d):
+    """The picture of the first route: nodes by kind, lane and end, and links by type and sign."""
+    engine = _engine(spark, d)
+    first = read(spark, d, "route_chain").filter("symbol_node_id is not null").agg(F.min("route_node_id").alias("node_id"))
+    route = engine.table("routes").join(first, "node_id", "left_semi").first()
+    flow = engine.endpoint_flow(route["service_name"], route["method"], route["url"], PICTURE_DEPTH, False)
+    tables = payload.graph_payload(flow, engine.table("nodes"), engine.table("symbols"), engine.table("files"), engine.table("function_cfg"))
+    shown = tables["nodes"].groupBy(F.lit("node").alias("what"), "kind", F.coalesce("outcome", F.lit("-")).alias("sign")).agg(F.count("*").alias("n"), F.sum("node_id").alias("id_sum"))
+    return shown.unionByName(tables["links"].groupBy(F.lit("link").alias("what"), F.col("type").alias("kind"), F.col("path_confidence").alias("sign")).agg(F.count("*").alias("n"), F.sum("target").alias("id_sum")))
+
+
+QUERIES = {f.__name__: f for f in (route_links, remote_routes, impact_routes, pr_routes, artifact_flow, graph_payload)}
 
 _FLOW = ", ".join(repr(t) for t in G.FLOW_TYPES)
 _IMPACT = ", ".join(repr(t) for t in G.IMPACT_TYPES)
@@ -98,4 +125,15 @@ ORACLE = {
       cl as (select m.seed, m.node_id, max(c.r) as r from m join c using (seed, node_id, depth) group by 1, 2 union all select seed, seed, 3 from sd), {_routes_of('cl')}
       select node_id, service_name, method, url, case max(case when r = 3 then 2 when r > 0 then 1 else 0 end) when 2 then 'certain' when 1 then 'inferred' else 'unknown' end as bucket, count(distinct seed) as n_seeds
       from best join routes using (node_id) group by 1, 2, 3, 4""",
+    "artifact_flow": f"""with recursive sy as (select node_id, key, string_split(key, ' ')[3] as pkg from nodes where kind = 'symbol'),
+      cc as (select a.key as s, b.key as d, e.line, {RANK_SQL} as r from edges e join sy a on a.node_id = src_node_id join sy b on b.node_id = dst_node_id where type = 'CALLS' and evidence_kind = 'scip' qualify row_number() over (partition by a.key, b.key order by e.line, e.file_id::varchar, e.confidence) = 1),
+      w as (select distinct concat_ws(':', route_node_id, position, phase) as position, [sy.key] as path, sy.key as symbol, 0 as depth, cast(null as int) as line, 3 as r, sy.pkg as own, false as external, false as cycle from route_chain join sy on sy.node_id = symbol_node_id
+        union all select w.position, list_append(w.path, cc.d), cc.d, w.depth + 1, cc.line, least(w.r, cc.r), w.own, string_split(cc.d, ' ')[3] <> w.own, list_contains(w.path, cc.d)
+        from w join cc on cc.s = w.symbol where not w.external and not w.cycle and w.depth < {G.MAX_DEPTH})
+      select position, array_to_string(path, '>') as way, depth, line, {NAME_SQL.format('r')} as path_confidence, external, cycle, depth = {G.MAX_DEPTH} and not external and not cycle and symbol in (select s from cc) as truncated from w""",
+    "graph_payload": f"""{walk_sql(PICTURE_DEPTH)}, st as (select distinct x.*, n.kind from x left join nodes n on n.node_id = x.node_id),
+      ends as (select symbol_node_id as node_id, case when bool_or(coalesce(outcome, '') = 'error_exit') then 'error_exit' when bool_or(coalesce(outcome, '') = 'success') then 'success' else 'unknown' end as outcome from function_cfg where kind = 'exit' group by 1),
+      nd as (select distinct node_id, kind from st), lk as (select path[-2] as source, node_id as target, type, max(r) as r from st where depth > 0 group by 1, 2, 3)
+      select 'node' as what, kind, coalesce(outcome, '-') as sign, count(*) as n, cast(sum(node_id) as bigint) as id_sum from nd left join ends using (node_id) group by 1, 2, 3
+      union all select 'link', type, {NAME_SQL.format('r')}, count(*), cast(sum(target) as bigint) from lk group by 1, 2, 3""",
 }

@@ -12,11 +12,11 @@ from spanloom.operators import graph as G
 from spanloom.operators import routing as R
 from spanloom.operators import traces as TR
 from spanloom.operators.intervals import containing
-from spanloom.session import shared_dir
+from spanloom.session import shared_dir, stage
 from spanloom.queries.common import EDGES_SQL, RANK_SQL, read
 from spanloom.streaming.sampler import service_sessions, tail_sample_stream, traffic_windows
 
-SAMPLE_RATE, ERRORED_LIMIT = 0.1, 20
+SAMPLE_RATE, ERRORED_LIMIT, ROUTE_TRACES = 0.1, 20, 10
 TRAFFIC = ["start_unix_us", "service_name", "http_route", "status", "duration_us"]
 
 
@@ -29,8 +29,27 @@ def span_group_max(spark, d):
     return spans.filter("http_route is not null").groupBy("service_name", "http_route", "http_method").agg(F.max("start_unix_us").alias("last_us"), F.count("*").alias("hits"))
 
 
+def _named_clients(spans):
+    """Spans whose client spans carry the route and method of the server span below them, as some
+    instrumentations record; the given tables have none. Odd ports are reached by loopback."""
+    below = spans.filter("kind = 'server' and http_route is not null and parent_span_id <> ''").groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(F.min(F.struct("http_route", "http_method")).alias("_below"))
+    client = F.col("kind") == "client"
+    named = spans.join(below, ["trace_id", "span_id"], "left")
+    for c in ("http_route", "http_method"):
+        named = named.withColumn(c, F.when(client, F.coalesce(c, f"_below.{c}")).otherwise(F.col(c)))
+    return named.withColumn("server_address", F.when(client & (F.col("server_port") % 2 == 1), "localhost").otherwise(F.col("server_address"))).drop("_below")
+
+
+def _places(spark, d):
+    """(hosts, ports): services by name and by their address, and by the port their spans are called at."""
+    services = read(spark, d, "routes").select(F.col("service_name").alias("service")).distinct()
+    hosts = services.select(F.col("service").alias("host"), "service").unionByName(services.select(F.concat("service", F.lit(".svc.example")).alias("host"), "service"))
+    called = read(spark, d, "spans").filter("kind = 'client' and server_port is not null").select(F.col("server_port").alias("port"), F.split_part("server_address", F.lit("."), F.lit(1)).alias("service"))
+    return hosts, called.groupBy("port").agg(F.min("service").alias("service"))
+
+
 def client_parent_pairs(spark, d):
-    return R.client_pairs(TR.once(read(spark, d, "spans"), *R.PAIR_COLUMNS))
+    return R.client_pairs(_named_clients(TR.once(read(spark, d, "spans"), *R.PAIR_COLUMNS)))
 
 
 def path_normalise(spark, d):
@@ -47,33 +66,35 @@ def promote_routes(spark, d):
     return R.route_hits(TR.once(read(spark, d, "spans"), *R.HIT_COLUMNS), read(spark, d, "routes"))
 
 
+def _promote(spark, d):
+    columns = {*R.PAIR_COLUMNS, *R.HIT_COLUMNS, "code_function", "code_filepath", "db_system", "db_name", "db_operation"}
+    spans = stage(_named_clients(TR.once(read(spark, d, "spans"), *sorted(columns))), "promoted-spans")
+    return R.promote(spans, read(spark, d, "routes"), read(spark, d, "nodes"), read(spark, d, "edges"), *_places(spark, d))
+
+
 def promotion_report(spark, d):
-    hits = promote_routes(spark, d)
-    return hits.agg(F.count_if(F.col("matched_by") == "route").alias("matched_routes"), F.count_if(F.col("matched_by") == "template").alias("routes_by_template"), F.count_if(F.col("matched_by").isNull()).alias("unmatched"))
+    """Everything runtime confirms, counted in one row."""
+    return _promote(spark, d)[1]
 
 
-def _observed_requests(spark, d):
-    """Route-to-route calls seen: the address names the callee's service, the parent span the caller."""
-    routes = read(spark, d, "routes")
-    services = routes.select(F.col("service_name").alias("service")).distinct()
-    hosts = services.select(F.col("service").alias("host"), "service").unionByName(services.select(F.concat("service", F.lit(".svc.example")).alias("host"), "service"))
-    ports = spark.createDataFrame([], "port int, service string")
-    pairs = R.service_at(R.client_pairs(TR.once(read(spark, d, "spans"), *R.PAIR_COLUMNS)), hosts, ports)
-    callee = routes.groupBy(F.col("service_name").alias("callee_service"), F.col("url").alias("http_route"), F.col("method").alias("_m")).agg(F.min("node_id").alias("dst_node_id"))
-    caller = routes.groupBy(F.col("service_name").alias("parent_service"), F.col("url").alias("caller_route")).agg(F.min("node_id").alias("src_node_id"))
-    named = pairs.withColumn("_m", F.coalesce("http_method", F.lit("GET"))).join(callee, ["callee_service", "http_route", "_m"]).join(caller, ["parent_service", "caller_route"])
-    return named.select("src_node_id", "dst_node_id", F.lit("REQUESTS").alias("type"), F.timestamp_micros("last_us").cast("timestamp_ntz").alias("seen_at"))
+def promoted_edges(spark, d):
+    """Edges after promotion, by type, confidence and evidence."""
+    after = _promote(spark, d)[0]
+    return after.groupBy("type", "confidence", "evidence_kind").agg(F.count("*").alias("n"), F.max("last_observed_at").alias("last"), F.count("last_observed_at").alias("n_seen"))
 
 
 def promote_edges(spark, d):
-    """Parent-child service calls as observed edges between the services' first routes."""
-    spans = TR.once(read(spark, d, "spans"), "parent_span_id", "service_name", "start_unix_us")
-    child = spans.filter("parent_span_id <> ''").select("trace_id", F.col("parent_span_id").alias("span_id"), F.col("service_name").alias("callee"), "start_unix_us")
-    parent = spans.select("trace_id", "span_id", F.col("service_name").alias("caller"))
-    calls = child.join(parent, ["trace_id", "span_id"]).filter("caller <> callee").groupBy("caller", "callee").agg(F.max("start_unix_us").alias("last_us"))
-    first = read(spark, d, "routes").groupBy("service_name").agg(F.min("node_id").alias("node_id"))
-    seen = calls.join(first.toDF("caller", "src_node_id"), "caller").join(first.toDF("callee", "dst_node_id"), "callee").select("src_node_id", "dst_node_id", F.lit("REQUESTS").alias("type"), F.timestamp_micros("last_us").cast("timestamp_ntz").alias("seen_at"))
-    return R.confirm_edges(read(spark, d, "edges").filter("type = 'REQUESTS'"), seen.unionByName(_observed_requests(spark, d)))
+    """Calls between routes that client spans show, against the edges that say so already."""
+    spans = _named_clients(TR.once(read(spark, d, "spans"), *R.PAIR_COLUMNS))
+    calls = R.request_calls(spans, read(spark, d, "routes"), *_places(spark, d)).filter("src_node_id is not null and dst_node_id is not null")
+    seen = calls.select("src_node_id", "dst_node_id", F.lit("REQUESTS").alias("type"), F.timestamp_micros("last_us").cast("timestamp_ntz").alias("seen_at"))
+    return R.confirm_edges(read(spark, d, "edges").filter("type = 'REQUESTS'"), seen)
+
+
+def route_errored_traces(spark, d):
+    """The newest errored traces of every route, by route or by concrete path."""
+    spans = TR.once(read(spark, d, "spans"), "status", "service_name", "http_route", "url_path", "start_unix_us", "http_status")
+    return R.errored_traces_of_routes(spans, read(spark, d, "routes"), ROUTE_TRACES)
 
 
 def touch_forward_only(spark, d):
@@ -116,9 +137,20 @@ def _span_stream(spark, d):
 
 
 def stream_windows(spark, d):
-    """Tumbling windows of deduplicated traffic as a stream; equals the batch result."""
-    once = _span_stream(spark, d).select("trace_id", "span_id", "start_unix_us", "service_name", "http_route", "status", "duration_us").dropDuplicates(["trace_id", "span_id"])
-    return _run_stream(traffic_windows(once, "6 hours", delay="3650 days"), "complete").select(_plain("window_start"), "service_name", "http_route", "n_spans", "n_errors", "duration_us")
+    """Windows that a stream in four batches has closed behind its watermark of an hour.
+
+    The batches are runs of start times, so nothing is late; the last window stays open.
+    """
+    spans = read(spark, d, "spans").select("trace_id", "span_id", "start_unix_us", "service_name", "http_route", "status", "duration_us")
+    cuts = spans.select(F.percentile_approx("start_unix_us", [0.25, 0.5, 0.75])).first()[0] or []
+    folder, low = f"{_stream_folder(spark)}/in", None
+    for i, high in enumerate([*cuts, None]):
+        part = spans.filter((F.lit(True) if low is None else F.col("start_unix_us") >= low) & (F.lit(True) if high is None else F.col("start_unix_us") < high))
+        part.coalesce(1).write.parquet(f"{folder}/{i}")
+        low = high
+    stream = spark.readStream.schema(spans.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
+    once = stream.withColumn("at", F.timestamp_micros("start_unix_us")).withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["trace_id", "span_id"])
+    return _run_stream(traffic_windows(once, "6 hours", delay="1 hour"), "append").select(_plain("window_start"), "service_name", "http_route", "n_spans", "n_errors", "duration_us")
 
 
 def stream_tail_sample(spark, d):
@@ -249,7 +281,7 @@ def error_correlation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        span_dedupe, span_group_max, client_parent_pairs, path_normalise, template_match, promote_routes, promotion_report, promote_edges, touch_forward_only, errored_traces_topk, trace_root_cause, tail_sample, stream_windows, stream_tail_sample, window_tumbling, window_sliding, window_session,
+        span_dedupe, span_group_max, client_parent_pairs, path_normalise, template_match, promote_routes, promotion_report, promoted_edges, promote_edges, route_errored_traces, touch_forward_only, errored_traces_topk, trace_root_cause, tail_sample, stream_windows, stream_tail_sample, window_tumbling, window_sliding, window_session,
         ordered_chain, read_chain, coverage_matrix, coverage_rollup, check_kind_lookup, blind_spots, write_span_join, security_path, write_without_check, route_listing, error_surface, error_correlation,
     )
 }
@@ -278,6 +310,15 @@ _HITS = f"""{_ONCE},
            from g2 left join mm on g2.direct is null and mm.service_name = g2.service_name and mm.method is not distinct from g2.http_method and mm.path = g2.url_path)"""
 _PAIRS = """cp as (select c.service_name, c.http_route, c.http_method, c.server_address, c.server_port, p.http_route as caller_route, p.service_name as parent_service, max(c.start_unix_us) as last_us, count(*) as calls
   from s c left join s p on p.trace_id = c.trace_id and p.span_id = c.parent_span_id where c.kind = 'client' and c.http_route is not null group by 1, 2, 3, 4, 5, 6, 7)"""
+_NAMED = f"""{_ONCE.replace('s as', 's0 as')},
+  bl as (select trace_id, parent_span_id as span_id, arg_min(http_route, http_route || chr(0) || coalesce(http_method, '')) as r, arg_min(http_method, http_route || chr(0) || coalesce(http_method, '')) as m from s0 where kind = 'server' and http_route is not null and parent_span_id <> '' group by 1, 2),
+  s as (select s0.* replace (case when kind = 'client' then coalesce(http_route, bl.r) else http_route end as http_route, case when kind = 'client' then coalesce(http_method, bl.m) else http_method end as http_method,
+        case when kind = 'client' and server_port % 2 = 1 then 'localhost' else server_address end as server_address) from s0 left join bl on bl.trace_id = s0.trace_id and bl.span_id = s0.span_id)"""
+_CALLS = """pt as (select server_port as port, min(split_part(server_address, '.', 1)) as service from spans where kind = 'client' and server_port is not null group by 1),
+  sv as (select distinct service_name as service from routes),
+  cl as (select cp.*, coalesce((select min(service) from sv where cp.server_address in (service, service || '.svc.example')), case when server_address = 'localhost' then (select service from pt where port = cp.server_port) end) as callee_service from cp),
+  rq as (select cl.*, (select min(node_id) from routes r where r.service_name = callee_service and r.url = cl.http_route and r.method = coalesce(cl.http_method, 'GET')) as dst_node_id,
+         (select min(node_id) from routes r where r.service_name = cl.parent_service and r.url = cl.caller_route) as src_node_id from cl)"""
 _SYMBOLS = "(select node_id from nodes where kind = 'symbol')"
 _REACH = f"""l as (select distinct src_node_id as a, dst_node_id as b from edges where type = 'CALLS' and src_node_id in {_SYMBOLS}),
   rr as (select distinct route_node_id as seed, symbol_node_id as node_id, 0 as depth from route_chain where symbol_node_id is not null
@@ -297,29 +338,45 @@ _SURFACE = f"""{_REACH},
   th as (select src_node_id as node_id, line from {EDGES_SQL} where type = 'THROWS'),
   tf as (select th.node_id, count(*) as throws from th left join ex using (node_id) where ex.lines is null or th.line is null or not list_contains(ex.lines, th.line) group by 1),
   surf as (select seed as route_node_id, cast(coalesce(sum(exits), 0) as bigint) as error_exits, cast(coalesce(sum(throws), 0) as bigint) as throws from reached left join ex using (node_id) left join tf using (node_id) group by 1)"""
-_FIRST = "first as (select service_name, min(node_id) as node_id from routes group by 1)"
-_OBSERVED = f"""{_ONCE}, {_PAIRS}, {_FIRST},
-  calls as (select p.service_name as caller, c.service_name as callee, max(c.start_unix_us) as last_us from s c join s p on p.trace_id = c.trace_id and p.span_id = c.parent_span_id where c.parent_span_id <> '' and p.service_name <> c.service_name group by 1, 2),
-  obs as (select a.node_id as src_node_id, b.node_id as dst_node_id, last_us from calls join first a on a.service_name = caller join first b on b.service_name = callee
-    union all
-    select r2.node_id, r1.node_id, cp.last_us from cp join (select service_name, url, method, min(node_id) as node_id from routes group by 1, 2, 3) r1
-      on r1.service_name in (cp.server_address, regexp_replace(cp.server_address, '[.]svc[.]example$', '')) and r1.url = cp.http_route and r1.method = coalesce(cp.http_method, 'GET')
-      join (select service_name, url, min(node_id) as node_id from routes group by 1, 2) r2 on r2.service_name = cp.parent_service and r2.url = cp.caller_route),
-  seen as (select src_node_id, dst_node_id, make_timestamp(max(last_us)) as seen from obs group by 1, 2),
-  have as (select src_node_id, dst_node_id, arg_max(confidence, {RANK_SQL}::varchar || evidence_kind) as confidence, arg_max(evidence_kind, {RANK_SQL}::varchar || evidence_kind) as evidence_kind, max(last_observed_at) as last from edges where type = 'REQUESTS' group by 1, 2)"""
+_OBSERVED = f"""{_NAMED}, {_PAIRS}, {_CALLS},
+  seen as (select src_node_id, dst_node_id, make_timestamp(max(last_us)) as seen from rq where src_node_id is not null and dst_node_id is not null group by 1, 2),
+  have as (select src_node_id, dst_node_id, arg_max(confidence, {RANK_SQL}::varchar || evidence_kind) as confidence, arg_max(evidence_kind, {RANK_SQL}::varchar || evidence_kind) as evidence_kind, max(last_observed_at) as last from edges where type = 'REQUESTS' group by 1, 2),
+  oc as (select coalesce(h.src_node_id, o.src_node_id) as src_node_id, coalesce(h.dst_node_id, o.dst_node_id) as dst_node_id, 'REQUESTS' as type,
+      case when o.seen is not null and (h.confidence is null or h.confidence = 'inferred') then 'observed' else h.confidence end as confidence, coalesce(h.evidence_kind, 'otel') as evidence_kind, coalesce(o.seen, h.last) as last_observed_at,
+      case when o.seen is null then 'unseen' when h.confidence is null then 'added' when h.confidence = 'inferred' then 'promoted' else 'confirmed' end as outcome
+      from have h full join seen o on o.src_node_id = h.src_node_id and o.dst_node_id = h.dst_node_id)"""
+_SYMBOL_NAME = r"coalesce(nullif(regexp_extract(key, '(?:`([^`]*)`|([^\s`/#.:!()\[\]]+))(?:\([^)]*\)\.|/|#|\.|:)$', 2), ''), regexp_extract(key, '(?:`([^`]*)`|([^\s`/#.:!()\[\]]+))(?:\([^)]*\)\.|/|#|\.|:)$', 1))"
+_PROMOTED = f"""{_OBSERVED}, {_HITS.split(_ONCE + ',')[1].strip()},
+  sy as (select node_id, {_SYMBOL_NAME} as name, regexp_extract(key, '`([^`]*)`', 1) as file from nodes where kind = 'symbol'),
+  ch as (select code_function, code_filepath, max(start_unix_us) as last_us from s where code_function is not null group by 1, 2),
+  cs as (select ch.code_function, ch.code_filepath, ch.last_us, min(sy.node_id) as node_id from ch left join sy on sy.name = code_function and (code_filepath is null or ends_with(file, code_filepath)) group by 1, 2, 3),
+  ds as (select node_id, lower(regexp_extract(key, '^(.*?)://', 1)) as engine from nodes where kind = 'datastore'),
+  dh as (select db_system, db_name, db_operation, service_name, max(start_unix_us) as last_us from s where db_system is not null group by 1, 2, 3, 4),
+  dc as (select dh.*, (select count(*) from ds where engine = lower(db_system)) as n from dh),
+  tc as (select node_id, make_timestamp(max(last_us)) as seen from (select node_id, last_us from hits union all select node_id, last_us from cs union all select ds.node_id, last_us from dh join ds on engine = lower(db_system)) where node_id is not null group by 1),
+  e1 as (select e.src_node_id, e.dst_node_id, e.type, e.evidence_kind, case when o.outcome = 'promoted' and e.confidence = 'inferred' then 'observed' else e.confidence end as confidence, greatest(e.last_observed_at, a.seen, b.seen, o.last_observed_at) as last_observed_at
+         from {EDGES_SQL} e left join tc a on a.node_id = e.src_node_id left join tc b on b.node_id = e.dst_node_id left join (select * from oc where outcome in ('promoted', 'confirmed')) o on o.src_node_id = e.src_node_id and o.dst_node_id = e.dst_node_id and o.type = e.type
+         union all select src_node_id, dst_node_id, type, 'otel', 'observed', last_observed_at from oc where outcome = 'added')"""
 
 ORACLE = {
     "span_dedupe": f"with {_ONCE} select trace_id, span_id, service_name, duration_us, status from s",
     "span_group_max": f"with {_ONCE} select service_name, http_route, http_method, max(start_unix_us) as last_us, count(*) as hits from s where http_route is not null group by 1, 2, 3",
-    "client_parent_pairs": f"with {_ONCE}, {_PAIRS} select * from cp",
+    "client_parent_pairs": f"with {_NAMED}, {_PAIRS} select * from cp",
     "path_normalise": f"select distinct url_path, {_NORM.format('url_path')} as path from spans where url_path is not null",
     "template_match": f"with {_match('select service_name, http_method as method, url_path as path from spans where url_path is not null')} select * from mm where node_id is not null",
     "promote_routes": f"with {_HITS} select * from hits",
-    "promotion_report": f"with {_HITS} select count(*) filter (where matched_by = 'route') as matched_routes, count(*) filter (where matched_by = 'template') as routes_by_template, count(*) filter (where matched_by is null) as unmatched from hits",
-    "promote_edges": f"""with {_OBSERVED} select coalesce(h.src_node_id, o.src_node_id) as src_node_id, coalesce(h.dst_node_id, o.dst_node_id) as dst_node_id, 'REQUESTS' as type,
-      case when o.seen is not null and (h.confidence is null or h.confidence = 'inferred') then 'observed' else h.confidence end as confidence, coalesce(h.evidence_kind, 'otel') as evidence_kind, coalesce(o.seen, h.last) as last_observed_at,
-      case when o.seen is null then 'unseen' when h.confidence is null then 'added' when h.confidence = 'inferred' then 'promoted' else 'confirmed' end as outcome
-      from have h full join seen o on o.src_node_id = h.src_node_id and o.dst_node_id = h.dst_node_id""",
+    "promotion_report": f"""with {_PROMOTED} select (select count(*) from hits where matched_by = 'route') as matched_routes, (select count(*) from hits where matched_by = 'template') as routes_by_template,
+      (select count(*) from oc where outcome = 'promoted') as promoted, (select count(*) from oc where outcome = 'added') as added, (select count(node_id) from cs) as matched_symbols, (select cast(sum(n) as bigint) from dc) as matched_datastores,
+      (select count(*) from e1 where evidence_kind in ('scip', 'treesitter') and (last_observed_at is null or last_observed_at < (select max(last_observed_at) from e1) - interval 30 day)) as possibly_dead,
+      (select count(*) from hits where matched_by is null) + (select count(*) from rq where src_node_id is null or dst_node_id is null) + (select count(*) from cs where node_id is null) + (select count(*) from dc where n = 0) as unmatched""",
+    "promoted_edges": f"with {_PROMOTED} select type, confidence, evidence_kind, count(*) as n, max(last_observed_at) as last, count(last_observed_at) as n_seen from e1 group by 1, 2, 3",
+    "promote_edges": f"with {_OBSERVED} select * from oc",
+    "route_errored_traces": f"""with {_ONCE}, b as (select distinct trace_id from s where status = 'error'),
+      mp as (select distinct service_name, url_path, {_NORM.format('url_path')} as p from s where url_path is not null), mt as (select node_id, service_name as s2, {_NORM.format('url')} as t from routes),
+      ft as (select distinct service_name, url_path, node_id from mp join mt on service_name = s2 where {_FITS}),
+      x as (select r.node_id, s.trace_id, start_unix_us, http_status from s join routes r on r.service_name = s.service_name and r.url = s.http_route where s.trace_id in (select trace_id from b)
+        union select ft.node_id, s.trace_id, start_unix_us, http_status from s join ft on ft.service_name = s.service_name and ft.url_path = s.url_path where s.trace_id in (select trace_id from b))
+      select * from x qualify row_number() over (partition by node_id order by start_unix_us desc, trace_id, http_status nulls first) <= {ROUTE_TRACES}""",
     "touch_forward_only": f"""with {_HITS}, t as (select node_id, make_timestamp(max(last_us)) as seen from hits where node_id is not null group by 1)
       select e.edge_id, greatest(e.last_observed_at, a.seen, b.seen) as last_observed_at from {EDGES_SQL} e left join t a on a.node_id = e.src_node_id left join t b on b.node_id = e.dst_node_id""",
     "errored_traces_topk": f"""with {_ONCE} select distinct trace_id, start_unix_us, status from s where coalesce(parent_span_id, '') = '' and trace_id in (select trace_id from s where status = 'error')
@@ -361,5 +418,5 @@ ORACLE = {
       select coalesce(o.service_name, st.service_name) as service_name, coalesce(o.url, st.url) as url, n_errors, n_traces, n_static from o full join st on st.service_name = o.service_name and st.url = o.url""",
 }
 
-ORACLE["stream_windows"] = ORACLE["window_tumbling"]
+ORACLE["stream_windows"] = f"select * from ({ORACLE['window_tumbling']}) where window_start + interval 6 hours <= (select make_timestamp(max(start_unix_us)) from spans) - interval 1 hour"
 ORACLE["stream_tail_sample"] = ORACLE["tail_sample"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,15 @@ from spanloom.operators import mutations as M
 from spanloom.operators import search as SE
 from spanloom.operators import summaries as SU
 from spanloom.operators.ranged import range_totals, with_global
+from spanloom.plans.engine import Engine
 from spanloom.queries.common import EDGES_SQL, read
 from spanloom.queries.graph import _hub
 from spanloom.schema import ENUMS, TABLES
+from spanloom.session import shared_dir
 from spanloom.sources.text_inputs import hunks
 
 TERMS, PREFIX, TOP_K = ["service", "request"], ["conn"], 8
+PHRASES = ["send voucher", "get carts", "retry", "POST orders", "réturns"]
 
 
 def symbol_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -103,11 +108,21 @@ def status_classes(spark, d):
     return read(spark, d, "spans").filter("http_status is not null").groupBy(F.concat(F.floor(F.col("http_status") / 100).cast("string"), F.lit("xx")).alias("class")).agg(F.count("*").alias("n"))
 
 
+SPELT = ["http_method", "http_status", "url_path", "code_function", "code_filepath", "db_system", "db_name", "db_operation", "server_address", "server_port"]
+
+
 def semconv_coalesce(spark, d):
-    """Attributes by either spelling, whichever the span carries."""
-    attrs = F.from_json("attributes", "map<string,string>")
-    spans = read(spark, d, "spans").filter("attributes is not null").select("trace_id", "span_id", "semconv", attrs.alias("a")).select("trace_id", "span_id", "semconv", O.attribute(F.col("a"), "http_method").alias("method"), F.coalesce(F.try_element_at("a", F.lit("host.pod")), F.try_element_at("a", F.lit("region.zone"))).alias("place"))
-    return spans.groupBy("semconv", "place").agg(F.count("*").alias("n"))
+    """Attributes written under one of their spellings, by turns, and under two at once, read back by name."""
+    spans = read(spark, d, "spans")
+    turn = lambda c, i: F.element_at(F.array(*(F.lit(k) for k in O.ALIASES[c])), (F.pmod(F.col("start_unix_us") + i, F.lit(len(O.ALIASES[c]))) + 1).cast("int"))
+    pairs = [F.struct(turn(c, i).alias("k"), F.col(c).cast("string").alias("v")) for i, c in enumerate(SPELT)]
+    # The oldest spelling is there as well, with another value: the newer one must win.
+    stale = [F.struct(F.lit(O.ALIASES[c][-1]).alias("k"), F.concat(F.lit("stale "), F.col(c).cast("string")).alias("v")) for c in SPELT]
+    written = F.filter(F.array(*pairs), lambda p: p["v"].isNotNull())
+    older = F.filter(F.array(*stale), lambda p: p["v"].isNotNull() & ~F.exists(written, lambda w: w["k"] == p["k"]))
+    attributes = F.map_from_entries(F.concat(written, older))
+    back = spans.select("semconv", *SPELT, attributes.alias("a")).select("semconv", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), O.attribute(F.col("a"), c).alias("got"), F.col(c).cast("string").alias("want")) for c in SPELT))).alias("x"))
+    return back.groupBy("semconv", "x.name").agg(F.count("x.got").alias("found"), F.count_if(F.col("x.got") == F.col("x.want")).alias("same"))
 
 
 def sql_literal_read(spark, d):
@@ -131,12 +146,17 @@ def phrase_tokens(spark, d):
     return read(spark, d, "routes").select("node_id", F.array_join(TX.tokens(F.col("url")), " ").alias("tokens"), TX.squash(F.col("url")).alias("squashed"))
 
 
+def _bm25(spark, d, terms, prefix=False):
+    docs = read(spark, d, "documents")
+    return SE.bm25(SE.postings(docs, "doc_id", "text"), SE.corpus_size(docs, "text"), "doc_id", terms, prefix).select("doc_id", F.round("score", 6).alias("score"))
+
+
 def bm25_and(spark, d):
-    return SE.bm25(read(spark, d, "documents"), "doc_id", "text", TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    return _bm25(spark, d, TERMS)
 
 
 def bm25_prefix(spark, d):
-    return SE.bm25(read(spark, d, "documents"), "doc_id", "text", PREFIX, prefix=True).select("doc_id", F.round("score", 6).alias("score"))
+    return _bm25(spark, d, PREFIX, True)
 
 
 def postings(spark, d):
@@ -144,6 +164,19 @@ def postings(spark, d):
     return SE.postings(read(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def search_phrases(spark, d):
+    """Hits of every phrase over a stored index of all symbols, routes and files, fused."""
+    index = SE.SearchIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    nodes = read(spark, d, "nodes")
+    index.build(SE.search_docs(nodes, read(spark, d, "routes")))
+    engine = Engine({"nodes": nodes})
+    out = None
+    for phrase in PHRASES:
+        hits = engine.search(phrase, index)["hits"].select(F.lit(phrase).alias("phrase"), "node_key", F.round("score", 9).alias("score"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def vector_topk(spark, d):
     vectors = read(spark, d, "embeddings")
     query = vectors.orderBy("vec_id").select("embedding").first()[0]
@@ -168,12 +201,7 @@ def rrf_fuse(spark, d):
 
 
 def search_docs_union(spark, d):
-    nodes = read(spark, d, "nodes")
-    key = F.col("key")
-    symbols = nodes.filter("kind = 'symbol'").select(F.col("key").alias("node_key"), "kind", S.display_name(key).alias("name"), S.container_of(key).alias("qualified"), F.lit("").alias("path"))
-    routes = read(spark, d, "routes").select(K.route_key(F.col("service_name"), F.col("method"), F.col("url")).alias("node_key"), F.lit("route").alias("kind"), F.col("url").alias("name"), F.concat_ws(" ", "method", "url").alias("qualified"), F.lit("").alias("path"))
-    files = nodes.filter("kind = 'file'").select(F.col("key").alias("node_key"), "kind", F.element_at(F.split("key", "/"), -1).alias("name"), F.lit("").alias("qualified"), F.col("key").alias("path"))
-    return symbols.unionByName(routes).unionByName(files)
+    return SE.search_docs(read(spark, d, "nodes"), read(spark, d, "routes")).select("node_key", "kind", "name", "qualified", "path")
 
 
 def context_tiers(spark, d):
@@ -227,21 +255,24 @@ QUERIES = {
     f.__name__: f
     for f in (
         symbol_parse, key_builders, package_identity, node_upsert_first_wins, file_upsert_latest_wins, incremental_diff, provenance_delete, forget_deleted, replace_cfg, fk_audit, table_counts, language_histogram, status_classes, semconv_coalesce, sql_literal_read, token_estimate, clip_and_digest, phrase_tokens,
-        bm25_and, bm25_prefix, postings, vector_topk, vector_topk_batch, rrf_fuse, search_docs_union, context_tiers, tier_budget_pack, cache_misses, diff_carry_forward, route_edges_graph, runs_per_channel,
+        bm25_and, bm25_prefix, postings, search_phrases, vector_topk, vector_topk_batch, rrf_fuse, search_docs_union, context_tiers, tier_budget_pack, cache_misses, diff_carry_forward, route_edges_graph, runs_per_channel,
     )
 }
 
 _UTF16 = r"(length({0}) + length(regexp_replace({0}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
 _PY = "(select file_id from files where lang = 'python')"
-_WORDS = "w as (select doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as ws from documents where text is not null), c as (select doc_id, len(ws) as length, ws from w where len(ws) > 0)"
+#: Marks leave letters of the Latin, Greek and Cyrillic blocks only.
+_FOLD = "array_to_string(list_transform(string_split(regexp_replace(lower(text), '\\p{Mn}+', '', 'g'), ''), lambda c: case when ord(c) between 192 and 591 or ord(c) between 880 and 1327 or ord(c) between 7680 and 8191 then strip_accents(c) else c end), '')"
+_WORDS = "w as (select doc_id, coalesce(regexp_extract_all(" + _FOLD + ", '[\\p{L}\\p{N}]+'), []) as ws from documents), c as (select doc_id, len(ws) as length, ws from w)"
 
 
 def _bm25_sql(terms: list[str], prefix: bool) -> str:
     hit = "starts_with(x, '{0}')" if prefix else "x = '{0}'"
     tfs = ", ".join(f"len(list_filter(ws, lambda x: {hit.format(t)})) as t{i}" for i, t in enumerate(terms))
     dfs = ", ".join(f"count(*) filter (where t{i} > 0) as d{i}" for i in range(len(terms)))
-    score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * {SE.K1 + 1} / (t{i} + {SE.K1} * (1 - {SE.B} + {SE.B} * length / avgl))" for i in range(len(terms)))
-    return f"with {_WORDS}, t as (select doc_id, length, {tfs} from c), s as (select count(*) as n, avg(length) as avgl, {dfs} from t) select doc_id, round({score}, 6) as score from t, s where " + " and ".join(f"t{i} > 0" for i in range(len(terms)))
+    idf = "greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), " + f"{SE.LEAST_IDF})"
+    score = " + ".join(f"{idf.format(i=i)} * t{i} * {SE.K1 + 1} / (t{i} + {SE.K1} * (1 - {SE.B} + {SE.B} * length / avgl))" for i in range(len(terms)))
+    return f"with {_WORDS}, t as (select doc_id, length, {tfs} from c), s as (select count(*) as n, sum(length) / count(*)::double as avgl, {dfs} from t) select doc_id, round({score}, 6) as score from t, s where " + " and ".join(f"t{i} > 0" for i in range(len(terms)))
 
 
 def _audit_sql() -> str:
@@ -291,7 +322,7 @@ ORACLE = {
     "table_counts": " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in ("runs", "files", "nodes", "edges", "routes", "route_chain", "function_cfg", "spans")),
     "language_histogram": "select lang, count(*) as n, count(distinct repo_id) as repos from files group by 1",
     "status_classes": "select cast(http_status // 100 as varchar) || 'xx' as class, count(*) as n from spans where http_status is not null group by 1",
-    "semconv_coalesce": """select semconv, coalesce(json_extract_string(attributes, '$."host.pod"'), json_extract_string(attributes, '$."region.zone"')) as place, count(*) as n from spans where attributes is not null group by 1, 2""",
+    "semconv_coalesce": " union all ".join(f"select semconv, '{c}' as name, count({c}) as found, count({c}) as same from spans group by 1" for c in SPELT),
     "sql_literal_read": f"""with l as (select unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) as line from documents), h as (select substr(ltrim(line, ' '), 1, {TX.SQL_HEAD}) as head, lower(regexp_extract(ltrim(line, ' '), '^([a-zA-Z]+)\\b', 1)) as verb from l), r as ({_SQL_READ})
       select verb, "table", operation, count(*) as n from r where "table" <> '' and not regexp_matches("table", '^\\d') group by 1, 2, 3""",
     "token_estimate": f"with d as (select doc_id, coalesce(text, '') as t from documents) select doc_id, cast(ceil({_UTF16.format('t')} / 4.0) as bigint) as tokens from d",
@@ -311,9 +342,9 @@ ORACLE = {
       select query_id, node_key, round(sum(1.0::double / ({SE.RRF_K} + k)), 9) as score, count(*) as n_sources from r group by 1, 2""",
     "search_docs_union": r"""with s as (select key, regexp_extract_all(regexp_extract(key, '^\S+ \S+ \S+ \S+ (.*)$', 1), '(?:`[^`]*`|[^\s`/#.:!()\[\]]+)(?:\([^)]*\)\.|/|#|\.|:)') as ds from nodes where kind = 'symbol'),
       n as (select key, list_transform(ds, lambda x: regexp_replace(regexp_replace(x, '(\([^)]*\)\.|/|#|\.|:)$', ''), '`', '', 'g')) as ns from s)
-      select key as node_key, 'symbol' as kind, ns[-1] as name, array_to_string(ns[:-2], '/') as qualified, '' as path from n
-      union all select service_name || ' ' || upper(method) || ' ' || url, 'route', url, method || ' ' || url, '' from routes
-      union all select key, kind, string_split(key, '/')[-1], '', key from nodes where kind = 'file'""",
+      select key as node_key, 'symbol' as kind, ns[-1] as name, coalesce(nullif(array_to_string(ns[:-2], '/'), ''), string_split(key, ' ')[3]) as qualified, '' as path from n
+      union all select n.key, 'route', upper(method) || ' ' || url, service_name, '' from routes join nodes n using (node_id) where n.kind = 'route'
+      union all select key, kind, string_split(key, '/')[-1], coalesce(regexp_extract(key, '^(.*)/[^/]*$', 1), ''), key from nodes where kind = 'file'""",
     "context_tiers": f"with {_TIERS} select seed, tier, count(*) as n_items from y group by 1, 2",
     "tier_budget_pack": f"""with recursive {_TIERS}, sz as (select tier, count(*) as n_items, cast(ceil(sum({_UTF16.format('item')} + 3) / 4.0) as bigint) as cost from y group by 1),
       tn as (select unnest(range({len(CX.TIERS)})) as i, unnest([{', '.join(repr(t) for t in CX.TIERS)}]) as tier),
@@ -321,6 +352,12 @@ ORACLE = {
       fold as (select i, tier, n_items, cost, cost <= {CX.BUDGET} as included, case when cost <= {CX.BUDGET} then cost else 0 end as spent from ft where i = 0
         union all select f.i, f.tier, f.n_items, f.cost, p.spent + f.cost <= {CX.BUDGET}, p.spent + case when p.spent + f.cost <= {CX.BUDGET} then f.cost else 0 end from fold p join ft f on f.i = p.i + 1)
       select tier, n_items, cost, included from fold""",
+    "cache_misses": f"""with s as (select node_id, key, {_NAME.replace('§', 'key')} as name, string_split(key, ' ')[3] as service, regexp_extract(key, '`([^`]*)`', 1) as module from nodes where kind = 'symbol'),
+      c as (select e.a as node_id, string_agg(distinct n.key, chr(10) order by n.key) as callees from (select distinct src_node_id as a, dst_node_id as b from edges where type in ('CALLS', 'CALLS_EXTERNAL')) e join nodes n on n.node_id = e.b group by 1),
+      w as (select 'function' as kind, concat_ws(chr(10), name, callees) as input from s left join c using (node_id)
+        union all select 'module', string_agg(distinct name, chr(10) order by name) from s group by service, module),
+      m as (select kind, sha256(input) as digest, input from w where not (kind = 'function' and not contains(input, chr(10))))
+      select kind, count(*) as n, max(digest) as last_sha256 from m group by 1""",
     "diff_carry_forward": "select path as file, line as first, line + line % 4 - 1 as last from (select distinct file_id, line from edges where file_id is not null and line is not null) join files using (file_id) where line % 4 > 0",
     "route_edges_graph": f"""select e.type, a.kind as src_kind, b.kind as dst_kind, count(distinct (src_node_id, dst_node_id)) as links, count(*) filter (where confidence = 'unresolved') as unresolved
       from {EDGES_SQL} e left join nodes a on a.node_id = src_node_id left join nodes b on b.node_id = dst_node_id where e.type in ('HANDLES', 'REQUESTS') group by 1, 2, 3""",

@@ -23,6 +23,36 @@ def stream_otlp(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     return spark.readStream.schema(OTLP).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
+#: Characters of a payload beyond which it is turned away.
+MOST = 16 * 1024 * 1024
+
+
+def read_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(file, body, payload, status, problem), one row per line of the files in ``path``.
+
+    status is that of the answer a sender would get: 200, 400 for what is no JSON of the
+    expected shape, 413 for what is too long. ``accepted`` takes the first, and ``refused``
+    keeps the others with their reason, so that nothing vanishes silently.
+    """
+    reader = spark.readStream if stream else spark.read
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
+    long = F.length("body") > MOST
+    parsed = F.from_json(F.when(~long, F.col("body")), f"{OTLP}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = rows.filter(F.trim("body") != "").withColumn("payload", parsed)
+    broken = F.col("payload").isNull() | F.col("payload._bad").isNotNull()
+    status = F.when(long, 413).when(broken, 400).otherwise(200)
+    problem = F.when(long, F.concat(F.lit(f"longer than {MOST} characters: "), F.length("body"))).when(broken, "not readable as JSON traces; the sender must use the JSON encoding")
+    return rows.select("file", "body", "payload", status.alias("status"), problem.alias("problem"))
+
+
+def accepted(payloads: DataFrame) -> DataFrame:
+    return payloads.filter("status = 200").select("payload.resourceSpans")
+
+
+def refused(payloads: DataFrame) -> DataFrame:
+    return payloads.filter("status <> 200").select("file", "status", "problem", F.substring("body", 1, 200).alias("head"))
+
+
 def _attribute_map(attributes) -> F.Column:
     """map<string,string> of key-value structs; of a repeated key the last stands."""
     pairs = F.coalesce(attributes, F.array().cast(_ATTRS))

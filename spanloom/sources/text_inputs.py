@@ -62,24 +62,46 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(~F.col("text").contains("\u001f") & (F.trim("text") != "") & F.col("c").isNotNull()).select(F.col("c")[0].alias("sha"), F.col("c")[1].alias("date"), F.col("c")[2].alias("author"), F.trim("text").alias("file"))
 
 
+# What a repository list may say.
+REPO_LANGUAGES = ["javascript", "typescript", "python"]
+REPO_FRAMEWORKS = ["fastify", "fastapi", "none"]
+
+
 def repositories(spark: SparkSession, text: str) -> DataFrame:
-    """Rows of ``repos`` from a repository list in JSON; keys starting ``//`` are comments."""
-    known = {"javascript", "typescript", "python"}
+    """(repo_id, name, root_path, service_name, lang, framework, include, exclude, port, base_url_env) of a list in JSON.
+
+    Keys starting ``//`` are comments. base_url_env maps names of variables to the service
+    they lead to; port is where the service listens locally. Whatever is wrong is an error
+    that names its repository.
+    """
     rows, names = [], set()
     for i, repo in enumerate(json.loads(text).get("repos", [])):
         repo = {k: v for k, v in repo.items() if not k.startswith("//")}
         name, root = repo.get("name"), repo.get("root", "")
-        if not name:
-            raise ValueError(f"repository {i} has no name")
-        if name in names:
-            raise ValueError(f"{name} is listed twice")
-        if not root.startswith("/"):
-            raise ValueError(f"{name}: the root must be absolute")
-        if repo.get("lang") not in known:
-            raise ValueError(f"{name}: language {repo.get('lang')!r} is not one of {sorted(known)}")
+
+        def need(holds: bool, what: str) -> None:
+            if not holds:
+                raise ValueError(f"{name or f'repository {i}'}: {what}")
+
+        need(bool(name), "has no name")
+        need(name not in names, "is listed twice")
+        need(isinstance(root, str) and root.startswith("/"), "the root must be absolute")
+        need(repo.get("lang") in REPO_LANGUAGES, f"language {repo.get('lang')!r} is not one of {REPO_LANGUAGES}")
+        need(repo.get("framework", "none") in REPO_FRAMEWORKS, f"framework {repo.get('framework')!r} is not one of {REPO_FRAMEWORKS}")
+        for key in ("include", "exclude"):
+            need(isinstance(repo.get(key, []), list) and all(isinstance(g, str) for g in repo.get(key, [])), f"{key} must be a list of globs")
+        port, env = repo.get("port"), repo.get("baseUrlEnv", {})
+        need(port is None or type(port) is int and 0 < port < 65536, f"port {port!r} is no port")
+        need(isinstance(env, dict) and all(isinstance(v, str) for v in env.values()), "baseUrlEnv must map names to services")
         names.add(name)
-        rows.append((i + 1, name, root, repo.get("service") or name))
-    return spark.createDataFrame(rows, "repo_id long, name string, root_path string, service_name string")
+        rows.append((i + 1, name, root, repo.get("service") or name, repo["lang"], repo.get("framework", "none"), repo.get("include", []), repo.get("exclude", []), port, env))
+    return spark.createDataFrame(rows, "repo_id long, name string, root_path string, service_name string, lang string, framework string, include array<string>, exclude array<string>, port int, base_url_env map<string,string>")
+
+
+def service_places(repos: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hosts (host, service), ports (port, service), env (name, service)) of a repository list."""
+    hosts = repos.select(F.explode(F.array_distinct(F.array("service_name", "name"))).alias("host"), F.col("service_name").alias("service"))
+    return hosts, repos.filter("port is not null").select("port", F.col("service_name").alias("service")), repos.select(F.explode("base_url_env").alias("name", "service"))
 
 
 def check_rules(lines: Iterable[str]) -> tuple[dict[str, str], list[str]]:

@@ -76,10 +76,14 @@ def deliver_once(spans: DataFrame, path: str, checkpoint: str, delay: str = "1 h
 
 
 def traffic_windows(spans: DataFrame, length: str = "5 minutes", slide: str | None = None, delay: str = "30 seconds") -> DataFrame:
-    """Requests, errors and durations per service and route in tumbling or sliding windows."""
-    timed = spans.withColumn("at", F.timestamp_micros("start_unix_us"))
-    if spans.isStreaming:
-        timed = timed.withWatermark("at", delay)
+    """Requests, errors and durations per service and route in tumbling or sliding windows.
+
+    A stream that has the column ``at`` brings its own watermark on it.
+    """
+    timed = spans
+    if "at" not in spans.columns:
+        timed = spans.withColumn("at", F.timestamp_micros("start_unix_us"))
+        timed = timed.withWatermark("at", delay) if spans.isStreaming else timed
     window = F.window("at", length, slide) if slide else F.window("at", length)
     grouped = timed.groupBy(window.alias("w"), "service_name", "http_route")
     return grouped.agg(F.count("*").alias("n_spans"), F.sum((F.col("status") == "error").cast("long")).alias("n_errors"), F.sum("duration_us").alias("duration_us")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "service_name", "http_route", "n_spans", "n_errors", "duration_us")
