@@ -43,19 +43,18 @@ def p3_target_stats(spark: SparkSession, d: str) -> DataFrame:
 # Problem 5
 
 
-def span_forest(spark: SparkSession, d: str, with_paths: bool = True) -> DataFrame:
+def span_forest(spark: SparkSession, d: str) -> DataFrame:
     spans = read(spark, d, "spans").select("trace_id", "span_id", F.expr("nullif(parent_span_id, '')").alias("parent_span_id"))
-    return hierarchy(spans, "trace_id", "span_id", "parent_span_id", with_paths)
+    return hierarchy(spans, "trace_id", "span_id", "parent_span_id")
 
 
-def cfg_forest(spark: SparkSession, d: str, with_paths: bool = True) -> DataFrame:
-    return hierarchy(read(spark, d, "function_cfg"), "symbol_node_id", "block_index", "parent_index", with_paths)
+def cfg_forest(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy(read(spark, d, "function_cfg"), "symbol_node_id", "block_index", "parent_index")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    # No column of the result needs a path, so none is spelt out; depth, root and loop are.
     loops = lambda forest, name: forest.filter(F.col("status") == "cycle").select(F.lit(name).alias("forest"), "tree_key", "node_key")
-    return loops(span_forest(spark, d, False), "spans").unionByName(loops(cfg_forest(spark, d, False), "function_cfg"))
+    return loops(span_forest(spark, d), "spans").unionByName(loops(cfg_forest(spark, d), "function_cfg"))
 
 
 def _flat(forest: DataFrame) -> DataFrame:
