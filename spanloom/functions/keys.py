@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 BUILTIN_PACKAGES = {"typescript": "builtin:ecmascript", "@types/node": "builtin:node"}
 
 
-def service_key(service: Column) -> Column:
-    return service
-
-
 def route_key(service: Column, method: Column, url: Column) -> Column:
     return F.concat_ws(" ", service, F.upper(method), url)
 

@@ -79,6 +79,11 @@ def one_line(text: Column, most: int = 200) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
+def collated(column: str) -> Column:
+    """``column`` as people sort it: by letters first, then marks and case, whatever the bytes."""
+    return F.collate(F.col(column), "UNICODE")
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -124,13 +129,5 @@ def path_allowed(path: Column, include: list[str], exclude: list[str]) -> Column
     return ok
 
 
-def check_kind(helper: Column, rules: dict[str, str]) -> Column:
-    """Kind of a check by the exact name of its helper."""
-    out = F.lit(None).cast("string")
-    for name, kind in rules.items():
-        out = F.when(helper == name, kind).otherwise(out)
-    return out
-
-
 def error_code(text: Column) -> Column:
     return text.rlike(r"^[A-Z][A-Z0-9]*(-[A-Z0-9]+)+$")

@@ -117,14 +117,19 @@ def _paths(nodes: pa.Array, rows: np.ndarray, depth: np.ndarray, parent: np.ndar
 def _run(table: pa.Table, with_paths: bool, run_path: int) -> Iterator[pa.RecordBatch]:
     """Hierarchy rows of whole trees, sorted by (tree, node, parent)."""
     tree, node, up = (table.column(c).combine_chunks() for c in ("_tree", "_node", "_parent"))
-    key = pc.binary_join_element_wise(tree, node, "\x00")
+    # Trees are numbered, so that no character of a key can make two keys one.
+    new = np.ones(len(tree), np.int64)
+    if len(tree) > 1:
+        new[1:] = pc.not_equal(tree.slice(1), tree.slice(0, len(tree) - 1)).to_numpy(zero_copy_only=False)
+    number = pa.array(np.cumsum(new)).cast(pa.string())
+    key = pc.binary_join_element_wise(number, node, ":")
     keep = np.ones(len(key), bool)
     if len(key) > 1:
         keep[1:] = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
     if not keep.all():
         mask = pa.array(keep)
-        tree, node, up, key = (x.filter(mask) for x in (tree, node, up, key))
-    parent = pc.index_in(pc.binary_join_element_wise(tree, up, "\x00"), value_set=key)
+        tree, node, up, key, number = (x.filter(mask) for x in (tree, node, up, key, number))
+    parent = pc.index_in(pc.binary_join_element_wise(number, up, ":"), value_set=key)
     parent = pc.if_else(up.is_valid(), parent, pa.scalar(None, pa.int32())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     depth, root, on_cycle, loop = grow(parent)
     orphan = (parent < 0) & up.is_valid().to_numpy(zero_copy_only=False)

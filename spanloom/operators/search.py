@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import symbols as S
 from spanloom.functions.stemming import fold, fold_text, porter, stems
 from spanloom.functions.text import clip, tokens
-from spanloom.functions.vectors import cosine, norm
+from spanloom.functions.vectors import cosine
 from spanloom.session import partitions_for
 
 # The parameters of the ranking function, and the weight of terms that are everywhere.
@@ -218,8 +218,3 @@ def reciprocal_rank_fusion(ranks: DataFrame, group: list[str], item: str, rank:
 
 def search_text(name: Column, qualified: Column, signature: Column, doc: Column, path: Column) -> Column:
     return F.concat_ws(" ", name, qualified, signature, doc, path)
-
-
-def unit(vector: Column) -> Column:
-    length = norm(vector)
-    return F.when(length == 0, vector).otherwise(F.transform(vector, lambda x: x / length))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import symbols as S
 from spanloom.functions.confidence import name_of, rank
-from spanloom.functions.text import path_fits
+from spanloom.functions.text import collated, path_fits
 from spanloom.operators import context as CX
 from spanloom.operators import graph as G
 from spanloom.operators import search as SE
@@ -148,7 +148,7 @@ class Engine:
         spaces = nodes.filter("kind = 'symbol'").filter(S.symbol_kind(F.col("key")) == "namespace").select("node_id")
         closure = G.closure(edges, seeds, G.IMPACT_TYPES, True, max_depth, spaces)
         routes = self.impacted_routes(closure.unionByName(seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.lit("certain").alias("path_confidence"))))
-        shown = G.truncate_buckets(routes, "bucket", [F.col("service_name").asc(), F.col("url").asc(), F.col("method").asc()], route_limit)
+        shown = G.truncate_buckets(routes, "bucket", [collated("service_name"), collated("url"), collated("method"), F.col("node_id")], route_limit)
         coupling = G.shared_nodes(edges, nodes, seeds, ["config", "datastore"])
         fan_in = G.fan_in(edges).filter(F.col("node_id") == node).first()
         gaps = self.table("unresolved_calls").join(closure.select(F.col("node_id").alias("src_node_id")).distinct().unionByName(seeds.select(F.col("seed").alias("src_node_id"))).distinct(), "src_node_id", "left_semi")

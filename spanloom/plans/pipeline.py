@@ -12,12 +12,13 @@ from spanloom.extract.calls import derive_calls
 from spanloom.functions import keys as K
 from spanloom.functions import symbols as S
 from spanloom.operators import mutations as M
+from spanloom.operators.cfg import block_of_edges
 from spanloom.session import stage
 from spanloom.sources.scip import definitions
 from spanloom.store import Store
 
-#: The type of edge and the kind of node that a finding makes.
-_TARGETS = {"throw": "external", "config": "config", "sql": "datastore"}
+#: Findings that make an edge.
+_KINDS = ["throw", "config", "sql"]
 
 
 @dataclass
@@ -93,6 +94,10 @@ def index_repository(store: Store, run: ingest.Run, sources: DataFrame, index: D
         merge = M.latest_wins if name in ("symbols", "routes") else M.first_wins
         keys = {"symbols": ["node_id"], "routes": ["node_id"]}.get(name) or list(M.TABLES[name].identity)
         tables[name] = M.replace_group(tables[name], new, ["symbol_node_id"]) if name == "function_cfg" else merge(tables[name], new, keys)
+    # Calls say which block of their function they are in.
+    blocks = stage(block_of_edges(tables["edges"], tables["function_cfg"]), "run-blocks")
+    report.rows["attributed"] = blocks.count()
+    tables["edges"] = tables["edges"].drop("cfg_block_index").join(blocks, "edge_id", "left").select(*tables["edges"].columns)
     store.commit(tables, base)
     return report
 
@@ -115,7 +120,7 @@ def _bodies(index: DataFrame) -> DataFrame:
 
 def _finding_facts(found: DataFrame, files: DataFrame, run: ingest.Run) -> dict[str, DataFrame]:
     """THROWS, READS_CONFIG, READS and WRITES edges from whatever owns the line of a finding."""
-    rows = found.filter(F.col("kind").isin(*_TARGETS)).join(files.select("path", "file_id"), "path")
+    rows = found.filter(F.col("kind").isin(*_KINDS)).join(files.select("path", "file_id"), "path")
     key = F.when(F.col("kind") == "throw", K.error_key(F.col("name"))).when(F.col("kind") == "config", K.config_key(F.col("name"))).otherwise(K.datastore_key(F.lit("postgres"), F.lit(None).cast("string"), F.col("name")))
     kind = F.when(F.col("kind") == "throw", "external").when(F.col("kind") == "config", "config").otherwise("datastore")
     type_ = F.when(F.col("kind") == "throw", "THROWS").when(F.col("kind") == "config", "READS_CONFIG").when(F.col("detail").endswith("write"), "WRITES").otherwise("READS")

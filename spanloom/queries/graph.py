@@ -65,6 +65,15 @@ def shared_nodes(spark, d):
     return G.shared_nodes(edges, read(spark, d, "nodes"), seeds, ["config", "datastore"])
 
 
+def shared_degrees(spark, d):
+    """For everything that touches config or data: how many others touch each of it, for all seeds at once."""
+    targets = read(spark, d, "nodes").filter("kind in ('config', 'datastore')").select(F.col("node_id").alias("dst_node_id"))
+    touches = read(spark, d, "edges").join(targets, "dst_node_id", "left_semi").select("src_node_id", "dst_node_id").distinct()
+    # Counted per target, so that no pair of users is spelt out.
+    users = touches.groupBy("dst_node_id").agg(F.count("*").alias("n"))
+    return touches.join(users, "dst_node_id").select(F.col("src_node_id").alias("seed"), F.col("dst_node_id").alias("shared_id"), (F.col("n") - 1).alias("n_others"))
+
+
 def _spaces(spark, d):
     """Module namespaces: a closure reaches them but does not go on from them."""
     return read(spark, d, "nodes").filter("kind = 'symbol'").filter(S.symbol_kind(F.col("key")) == "namespace").select("node_id")
@@ -123,7 +132,9 @@ def peers_of(spark, d):
 
 
 def wide_commits(spark, d):
-    return CC.commit_files(_commits(spark, d))[1]
+    """Commits too wide to tell pairs, when all files of a language were once rewritten in one commit."""
+    sweeps = read(spark, d, "files").filter("lang is not null").select(F.concat(F.lit("sweep of "), "lang").alias("sha"), F.concat_ws("/", "repo_id", "path").alias("file"))
+    return CC.commit_files(_commits(spark, d).unionByName(sweeps))[1]
 
 
 def cfg_error_only(spark, d):
@@ -209,7 +220,7 @@ def bucket_precedence(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        edge_identity_dedupe, edge_type_counts, cross_repo_edges, cross_file_calls, fan_in_utility, neighbours_in_out, two_hop, shared_nodes, reverse_closure, reachable_per_route, walk_forward, shortest_confidence, bucket_truncate, co_changed, peers_of, wide_commits,
+        edge_identity_dedupe, edge_type_counts, cross_repo_edges, cross_file_calls, fan_in_utility, neighbours_in_out, two_hop, shared_nodes, shared_degrees, reverse_closure, reachable_per_route, walk_forward, shortest_confidence, bucket_truncate, co_changed, peers_of, wide_commits,
         cfg_error_only, cfg_guard_join, cfg_counts, edge_blocks, calls_on_error_path, symbol_at, hunk_overlap, possibly_dead, possibly_dead_count, path_confidence_fold, systematic_sample, bucket_precedence,
     )
 }
@@ -263,6 +274,8 @@ ORACLE = {
     "shared_nodes": """with s as (select min(src_node_id) as seed from edges where type = 'READS_CONFIG'),
       t as (select distinct src_node_id as a, dst_node_id as b from edges where dst_node_id in (select node_id from nodes where kind in ('config', 'datastore')))
       select seed, x.b as shared_id, y.a as other_id from s join t x on x.a = seed join t y on y.b = x.b where y.a <> seed""",
+    "shared_degrees": """with t as (select distinct src_node_id as a, dst_node_id as b from edges where dst_node_id in (select node_id from nodes where kind in ('config', 'datastore')))
+      select a as seed, b as shared_id, count(*) over (partition by b) - 1 as n_others from t""",
     "reverse_closure": f"{_CLOSURE} select seed, node_id, depth, {NAME_SQL.format('r')} as path_confidence from out",
     "shortest_confidence": f"{_CLOSURE} select depth, {NAME_SQL.format('r')} as path_confidence, count(*) as n from out group by 1, 2",
     "reachable_per_route": f"""with recursive l as (select distinct src_node_id as a, dst_node_id as b from edges where type = 'CALLS' and src_node_id in (select node_id from nodes where kind = 'symbol')),
@@ -277,7 +290,8 @@ ORACLE = {
     "co_changed": f"with {_COMMITS} select * from co",
     "peers_of": f"""with {_COMMITS}, both_ as (select file_a as file, file_b as peer, commits, support_a as support from co union all select file_b, file_a, commits, support_b from co)
       select * from both_ qualify row_number() over (partition by file order by support desc, commits desc, peer) <= 10""",
-    "wide_commits": f"with {_COMMITS} select sha, count(*) as n_files from rows group by sha having count(*) > 30",
+    "wide_commits": f"""with {_COMMITS}, every as (select * from rows union select 'sweep of ' || lang, concat_ws('/', repo_id, path) from files where lang is not null)
+      select sha, count(*) as n_files from every group by sha having count(*) > 30""",
     "cfg_error_only": f"with recursive {_CFG_WALK} select * from eo",
     "cfg_guard_join": """select c.symbol_node_id, c.block_index, c.exit_form, c.error_name, c.start_line, p.kind as parent_kind, p.condition_text as guard
       from function_cfg c left join function_cfg p on p.symbol_node_id = c.symbol_node_id and p.block_index = c.parent_index where c.kind = 'exit' and c.outcome = 'error_exit'""",

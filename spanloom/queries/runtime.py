@@ -16,7 +16,7 @@ from spanloom.session import shared_dir, stage
 from spanloom.queries.common import EDGES_SQL, RANK_SQL, read
 from spanloom.streaming.sampler import service_sessions, tail_sample_stream, traffic_windows
 
-SAMPLE_RATE, ERRORED_LIMIT, ROUTE_TRACES = 0.1, 20, 10
+SAMPLE_RATE, ERRORED_LIMIT, ROUTE_TRACES, LONGER = 0.1, 20, 10, 200
 TRAFFIC = ["start_unix_us", "service_name", "http_route", "status", "duration_us"]
 
 
@@ -231,20 +231,25 @@ def _writes(spark, d):
     return reached.join(writes, "node_id").select(F.col("seed").alias("route_node_id"), "datastore").distinct()
 
 
-def write_span_join(spark, d):
+def _write_lines(spark, d, longer=0):
     """Writes to a datastore on a line inside a route's handler, by file and line span."""
-    handlers = _chain(spark, d).filter("phase in ('handler', 'handler_inline') and line is not null and file_id is not null").select("route_node_id", "file_id", F.col("line").alias("low"), F.coalesce("end_line", "line").alias("high")).distinct()
+    handlers = _chain(spark, d).filter("phase in ('handler', 'handler_inline') and line is not null and file_id is not null").select("route_node_id", "file_id", F.col("line").alias("low"), (F.coalesce("end_line", "line") + longer).alias("high")).distinct()
     stores = read(spark, d, "nodes").filter("kind = 'datastore'").select(F.col("node_id").alias("dst_node_id"), F.col("key").alias("datastore"))
     writes = read(spark, d, "edges").filter("type = 'WRITES' and file_id is not null and line is not null").join(stores, "dst_node_id").select("file_id", F.col("line").alias("at"), "datastore").distinct()
     return containing(writes, handlers, "file_id", "at", "low", "high").select("route_node_id", "datastore").distinct()
 
 
+def write_span_join(spark, d):
+    """The same with every handler taken as LONGER lines longer: those of the tables are few lines long and hold next to no write."""
+    return _write_lines(spark, d, LONGER)
+
+
 def security_path(spark, d):
     """Per route: checks, kinds, writes reached by call or by handler lines, and the anomaly."""
     chain = _chain(spark, d)
     routes = read(spark, d, "routes").select(F.col("node_id").alias("route_node_id"), "service_name", "method", "url")
     checks = chain.filter("check_kind is not null").groupBy("route_node_id").agg(F.count("*").alias("n_checks"), F.array_join(F.array_sort(F.collect_set("check_kind")), ",").alias("kinds"), F.max((F.col("check_kind") == "tenant").cast("int")).alias("_tenant"))
-    writes = _writes(spark, d).unionByName(write_span_join(spark, d)).distinct().groupBy("route_node_id").agg(F.count("*").alias("n_writes"))
+    writes = _writes(spark, d).unionByName(_write_lines(spark, d)).distinct().groupBy("route_node_id").agg(F.count("*").alias("n_writes"))
     out = routes.join(checks, "route_node_id", "left").join(writes, "route_node_id", "left")
     n, w = F.coalesce("n_checks", F.lit(0)), F.coalesce("n_writes", F.lit(0))
     return out.select("route_node_id", "service_name", "method", "url", n.alias("n_checks"), F.coalesce("kinds", F.lit("")).alias("kinds"), w.alias("n_writes"), ((w > 0) & (F.coalesce("_tenant", F.lit(0)) == 0)).alias("writes_without_tenant"), (n == 0).alias("unprotected"))
@@ -406,7 +411,7 @@ ORACLE = {
     "coverage_rollup": f"with {_CHAIN} select check_kind, phase, count(*) as n, count(distinct route_node_id) as n_routes from ch where check_kind is not null group by rollup (check_kind, phase)",
     "check_kind_lookup": f"with {_CHAIN} select ch.check_kind, r.check_kind as rule_kind, count(*) as n from ch left join check_rules r on r.helper = ch.name where ch.name is not null group by 1, 2",
     "blind_spots": f"with {_CHAIN} select n.key as route_key, phase, position, ch.key as entry_key from ch join nodes n on n.node_id = ch.route_node_id where symbol_node_id is null and origin not in ('framework', 'handler')",
-    "write_span_join": f"with {_CHAIN}, {_WRITE_LINES} select * from wl",
+    "write_span_join": f"with {_CHAIN}, {_WRITE_LINES.replace('coalesce(end_line, line) as high', f'coalesce(end_line, line) + {LONGER} as high')} select * from wl",
     "security_path": f"with recursive {_SECURITY} select * from sec",
     "write_without_check": f"with recursive {_SECURITY} select route_node_id, service_name, n_writes, kinds from sec where writes_without_tenant",
     "route_listing": f"""with {_CHAIN}, k as (select route_node_id, coalesce(string_agg(distinct check_kind, ',' order by check_kind), '') as checks, count(*) as n_entries from ch group by 1)

@@ -205,7 +205,10 @@ def search_docs_union(spark, d):
 
 
 def context_tiers(spark, d):
-    return CX.tiers(read(spark, d, "nodes"), read(spark, d, "edges"), read(spark, d, "function_cfg"), _seed(spark, d)).groupBy("seed", "tier").agg(F.count("*").alias("n_items"))
+    """Sizes of the tiers of every symbol."""
+    nodes = read(spark, d, "nodes")
+    seeds = nodes.filter("kind = 'symbol'").select(F.col("node_id").alias("seed"))
+    return CX.tiers(nodes, read(spark, d, "edges"), read(spark, d, "function_cfg"), seeds).groupBy("seed", "tier").agg(F.count("*").alias("n_items"))
 
 
 def _seed(spark, d):
@@ -288,6 +291,7 @@ _SQL_READ = " union all ".join(
     for verb, (kind, word) in TX.SQL_VERBS.items()
 )
 _HUB_SQL = """hub as (select n.node_id as seed from (select dst_node_id as node_id, count(distinct src_node_id) as f from edges where type = 'CALLS' group by 1) c join nodes n using (node_id) where n.kind = 'symbol' order by f desc, n.node_id limit 1)"""
+_EVERY_SQL = "hub as (select node_id as seed from nodes where kind = 'symbol')"
 _LAST = r"regexp_extract({0}, '(?:`([^`]*)`|([^\s`/#.:!()\[\]]+))(?:\([^)]*\)\.|/|#|\.|:)$', {1})"
 _NAME = "(case when {0} like 'scip %' then coalesce(nullif(" + _LAST.format("{0}", 2) + ", ''), " + _LAST.format("{0}", 1) + ") else {0} end)"
 _NAME = _NAME.replace("{0}", "§")
@@ -345,7 +349,7 @@ ORACLE = {
       select key as node_key, 'symbol' as kind, ns[-1] as name, coalesce(nullif(array_to_string(ns[:-2], '/'), ''), string_split(key, ' ')[3]) as qualified, '' as path from n
       union all select n.key, 'route', upper(method) || ' ' || url, service_name, '' from routes join nodes n using (node_id) where n.kind = 'route'
       union all select key, kind, string_split(key, '/')[-1], coalesce(regexp_extract(key, '^(.*)/[^/]*$', 1), ''), key from nodes where kind = 'file'""",
-    "context_tiers": f"with {_TIERS} select seed, tier, count(*) as n_items from y group by 1, 2",
+    "context_tiers": f"with {_TIERS.replace(_HUB_SQL, _EVERY_SQL)} select seed, tier, count(*) as n_items from y group by 1, 2",
     "tier_budget_pack": f"""with recursive {_TIERS}, sz as (select tier, count(*) as n_items, cast(ceil(sum({_UTF16.format('item')} + 3) / 4.0) as bigint) as cost from y group by 1),
       tn as (select unnest(range({len(CX.TIERS)})) as i, unnest([{', '.join(repr(t) for t in CX.TIERS)}]) as tier),
       ft as (select i, tier, coalesce(n_items, 0) as n_items, coalesce(cost, 0) as cost from tn left join sz using (tier)),

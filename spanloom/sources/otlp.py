@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import one_line
 from spanloom.functions.otel import ALIASES, any_value, attribute, micros, span_kind, status
 
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,arrayValue:struct<values:array<struct<stringValue:string,intValue:string>>>>"
@@ -50,7 +51,7 @@ def accepted(payloads: DataFrame) -> DataFrame:
 
 
 def refused(payloads: DataFrame) -> DataFrame:
-    return payloads.filter("status <> 200").select("file", "status", "problem", F.substring("body", 1, 200).alias("head"))
+    return payloads.filter("status <> 200").select("file", "status", "problem", one_line(F.col("body")).alias("head"))
 
 
 def _attribute_map(attributes) -> F.Column:

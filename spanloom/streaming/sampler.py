@@ -98,9 +98,18 @@ def service_sessions(spans: DataFrame, gap: str = "10 minutes", delay: str = "30
     return grouped.select("service_name", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_spans")
 
 
-def receiver_statistics(spans: DataFrame, name: str = "receiver") -> DataFrame:
-    """``spans`` with running counts of what passes, readable from query progress."""
-    return spans.observe(name, F.count("*").alias("received"), F.count_if(F.col("status") == "error").alias("errored"))
+def sampled_with_statistics(spans: DataFrame, rate: float = SAMPLE_RATE, timeout_ms: int = TRACE_TIMEOUT_MS) -> DataFrame:
+    """``tail_sample_stream`` with counts of what comes and what is kept, for ``receiver_report``."""
+    counted = spans.observe("received", F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errored"))
+    return tail_sample_stream(counted, rate, timeout_ms).observe("kept", F.count("*").alias("n"))
+
+
+def receiver_report(query: StreamingQuery) -> dict[str, int]:
+    """received, errored and kept spans of the batches the query remembers, and the traces it holds undecided."""
+    progress = query.recentProgress
+    total = lambda name, field: sum(p.observedMetrics[name][field] for p in progress if name in p.observedMetrics)
+    held = [p.stateOperators[0].numRowsTotal for p in progress if p.stateOperators]
+    return {"received": total("received", "n"), "errored": total("received", "errored"), "kept": total("kept", "n"), "buffered": held[-1] if held else 0}
 
 
 def run_batchwise(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -200,15 +200,59 @@ def test_error_paths_are_independent(facts):
     assert [(r.origin_span, r.depth, r.chain) for r in answer["observed"].collect()] == [("leaf", 2, "leaf>mid>root")]
 
 
-def test_search(spark):
-    docs = spark.createDataFrame([("k1", "check user auth checkUserAuth"), ("k2", "user service"), ("k3", "nothing here"), ("k4", "checkUserAuth")], "node_key string, text string")
-    e = Engine({"nodes": spark.createDataFrame([], TABLES["nodes"].schema)})
-    hits = [r.node_key for r in e.search("check user auth", docs)["hits"].collect()]
-    assert hits[0] == "k1" and "k4" in hits and "k3" not in hits
-    assert e.search(",,,", docs).facts["reason"] and e.search("x", docs.limit(0)).facts["reason"]
-    vectors = spark.createDataFrame([("k3", [1.0, 0.0]), ("k2", [-1.0, 0.0])], "node_key string, vector array<float>")
-    fused = [r.node_key for r in e.search("check user auth", docs, vectors, [1.0, 0.0])["hits"].collect()]
-    assert "k3" in fused and "k2" not in fused
+def test_follow_a_hit(facts):
+    route, handler = facts.route("svc", "GET", "/a"), facts.fn("h")
+    facts.chain(route, 0, handler)
+    e = facts.engine()
+    assert e.follow("svc GET /a").facts["visited"] == [route]
+    assert e.follow(f"{SVC}h().").facts["node_id"] == handler
+    with pytest.raises(NotFound):
+        e.follow("nothing")
+
+
+def test_errors_of_spans_without_a_route(facts, spark):
+    facts.chain(facts.route("svc", "GET", "/po/:id"), 0, facts.fn("h"))
+
+    def span(t, path, route=None, service="svc"):
+        facts.rows["spans"].append((t, "s", None, "x", "server", service, 1, 2, 1, "error", None, route, "GET", 500, None, None, None, None, None, None, None, path, None, None, None, None, None))
+
+    span("t1", "/po/7")
+    span("t2", "/po/7/lines")
+    span("t3", None, "/po/:id")
+    span("t4", "/po/8", "/other")
+    span("t5", "/po/9", service="else")
+    assert sorted(r.trace_id for r in facts.engine().error_paths("svc", "GET", "/po/:id")["observed"].collect()) == ["t1", "t3"]
+    from spanloom.operators.routing import errored_traces_of_routes
+
+    e = facts.engine()
+    # Asked by route over all spans, a concrete path counts whatever the span says of its route.
+    assert sorted(r.trace_id for r in errored_traces_of_routes(e.table("spans"), e.table("routes"), 10).collect()) == ["t1", "t3", "t4"]
+    assert errored_traces_of_routes(e.table("spans").limit(0), e.table("routes"), 10).count() == 0
+
+
+def test_picture(facts):
+    import json
+
+    from spanloom.plans.payload import graph_payload, payload_json
+
+    route, handler, low, store = facts.route("svc", "GET", "/a"), facts.fn("h"), facts.fn("low"), facts.node("datastore", "postgres://?/t")
+    facts.chain(route, 0, handler)
+    facts.edge(handler, low)
+    facts.edge(handler, low, line=4, confidence="inferred")
+    facts.edge(low, store, "WRITES", "inferred")
+    facts.rows["function_cfg"] += [(low, 0, None, "root", None, None, None, None, 1, 9, 1, 1), (low, 1, 0, "exit", None, "error_exit", "throw", "Bad", 3, 3, 1, 1)]
+    facts.rows["unresolved_calls"].append((low, "call", "cb", "dynamic", 1, 5, 2, 1))
+    e = facts.engine()
+    made = json.loads(payload_json(graph_payload(e.endpoint_flow("svc", "GET", "/a"), *(e.table(t) for t in ("nodes", "symbols", "files", "function_cfg"))), {"service": "svc"}))
+    assert {n["label"]: n["outcome"] for n in made["nodes"]} == {"h": None, "low": "error_exit", "postgres://?/t": None}
+    assert {(x["source"], x["target"], x["type"], x["path_confidence"]) for x in made["edges"]} == {(handler, low, "CALLS", "certain"), (low, store, "WRITES", "inferred")}
+    assert made["services"] == ["svc"] and [b["error_name"] for b in made["cfg"][str(low)]] == [None, "Bad"] and made["unknowns"][0]["reason"] == "dynamic" and "line" in made["legend"]
+    assert next(n for n in made["nodes"] if n["label"] == "h")["chain"]["channel"] == "boot"
+
+
+def test_error_renderer(facts):
+    facts.chain(facts.route("svc", "GET", "/a"), 0, facts.fn("h"))
+    assert render.error_lines(facts.engine().error_paths("svc", "GET", "/a")) == ["observed: no errored trace", "can fail: no error exit known"]
 
 
 def test_walk_and_closure_agree(facts, spark):
@@ -223,3 +267,52 @@ def test_walk_and_closure_agree(facts, spark):
     walked = {r.node_id: r.d for r in walk(e.table("edges"), e.table("nodes"), seeds, 6, ["CALLS"]).filter("depth > 0").groupBy("node_id").agg({"depth": "min"}).withColumnRenamed("min(depth)", "d").collect()}
     closed = {r.node_id: r.depth for r in closure(e.table("edges"), spark.createDataFrame([(names[0],)], "seed long"), ["CALLS"], False, 6).collect()}
     assert walked == closed
+
+
+def test_promotion_in_one_answer(facts, spark):
+    from spanloom.operators.routing import promote
+
+    caller, callee, fn = facts.route("web", "GET", "/c"), facts.route("api", "GET", "/o/:id"), facts.fn("weigh")
+    facts.node("datastore", "postgres://?/t")
+    store = facts.node("datastore", "redis://?/k")
+    facts.edge(caller, callee, "REQUESTS", "inferred")
+    facts.edge(fn, store, "READS")
+    facts.edge(fn, facts.fn("idle"))
+
+    def span(i, parent, kind, service, start=10**15, **over):
+        row = dict(zip(TABLES["spans"].schema.names, (f"t{i[0]}", i, parent, "x", kind, service, start, start, 0, "ok")))
+        facts.rows["spans"].append(tuple({**dict.fromkeys(TABLES["spans"].schema.names), **row, **over}.values()))
+
+    span("a1", None, "server", "web", http_route="/c", http_method="GET")
+    span("a2", "a1", "client", "web", http_route="/o/:id", server_address="localhost", server_port=80)
+    span("a3", "a2", "server", "api", url_path="/o/7", http_method="GET")
+    span("a4", "a3", "internal", "api", code_function="weigh", code_filepath="server.js")
+    span("a5", "a3", "internal", "api", code_function="weigh", code_filepath="other.js")
+    span("a6", "a3", "client", "api", db_system="Postgres", db_name="d")
+    span("a7", "a3", "client", "api", db_system="mysql")
+    span("a8", "a3", "server", "api", url_path="/none")
+    span("b1", "a9", "client", "web", http_route="/o/:id", server_address="unknown.example")
+    e = facts.engine()
+    hosts, ports = spark.createDataFrame([("web", "web"), ("api", "api")], "host string, service string"), spark.createDataFrame([(80, "api")], "port int, service string")
+    after, report = promote(e.table("spans"), e.table("routes"), e.table("nodes"), e.table("edges"), hosts, ports)
+    row = report.first().asDict()
+    assert row == {"matched_routes": 1, "routes_by_template": 1, "promoted": 1, "added": 0, "matched_symbols": 1, "matched_datastores": 1, "unmatched": 4, "possibly_dead": 0}
+    got = {(r.src_node_id, r.dst_node_id): (r.confidence, r.last_observed_at is not None) for r in after.collect()}
+    assert got == {(caller, callee): ("observed", True), (fn, store): ("certain", True), (fn, facts.fn("idle")): ("certain", True)}
+    assert promote(e.table("spans").limit(0), e.table("routes"), e.table("nodes"), e.table("edges"), hosts, ports)[1].first()["possibly_dead"] == 3
+
+
+def test_context_pack_with_source(facts, spark):
+    hub, near, far = facts.fn("hub"), facts.fn("near"), facts.fn("far")
+    facts.edge(near, hub)
+    facts.edge(far, near)
+    e = facts.engine()
+    row = lambda n, file, a, b: (n, file, None, "method", None, None, a, b, None, None, None)
+    e.tables["symbols"] = spark.createDataFrame([row(hub, 1, 2, 3), row(near, 2, 1, 1), row(far, 3, 1, 1)], TABLES["symbols"].schema)
+    e.tables["files"] = spark.createDataFrame([(i, 1, f"{i}.js", "js", "x", 1) for i in (1, 2, 3)], TABLES["files"].schema)
+    sources = spark.createDataFrame([("1.js", "line one\nfunction hub() {\n}\nend"), ("2.js", "n" * 400), ("3.js", "f" * 4000)], "path string, content string")
+    answer = e.context_pack("hub", sources=sources)
+    assert answer["source"].first().text == "function hub() {\n}" and answer.facts["reserved"] == 5
+    delta = answer["delta"].first()
+    assert delta.dump_tokens == 8 + 100 and delta.packed_tokens >= 5 and delta.ratio < 1
+    assert e.context_pack("hub", budget=5, sources=sources)["packed"].filter("included and cost > 0").count() == 0

@@ -143,3 +143,8 @@ def test_old_spellings(spark, name, key):
 def test_lengths_are_utf16_units(spark):
     assert one(spark, text.estimate_tokens(F.lit("😀😀a"))) == 2
     assert one(spark, text.utf16_length(F.lit("ä😀"))) == 3
+
+
+def test_collated_order(spark):
+    df = spark.createDataFrame([(x,) for x in ("b", "B", "a", "Z", "ä", "_", "A", "az")], "t string")
+    assert [r.t for r in df.orderBy(text.collated("t")).collect()] == ["_", "a", "A", "ä", "az", "b", "B", "Z"]

@@ -76,3 +76,10 @@ def test_nulls_empty_and_clashing_columns(spark, rows):
 def test_same_node_name_in_other_trees(spark, rows):
     df = spark.createDataFrame([("a", "x", "y"), ("b", "y", "x"), ("b", "x", "y")], SCHEMA)
     assert rows(hierarchy(df, "t", "s", "p"), "tree_key", "node_key", "status") == [("a", "x", "orphan_root"), ("b", "x", "cycle"), ("b", "y", "cycle")]
+
+
+def test_keys_with_separators_stay_apart(spark, rows):
+    """Tree and node keys that hold NUL or colons make no two rows one."""
+    data = [("a\0b", "c", None), ("a", "b\0c", None), ("1:a", "x", None), ("1", "a:x", "x"), ("1", "x", None)]
+    got = rows(hierarchy(spark.createDataFrame(data, "t string, s string, p string"), "t", "s", "p"), "tree_key", "node_key", "status")
+    assert got == sorted([("a\0b", "c", "root"), ("a", "b\0c", "root"), ("1:a", "x", "root"), ("1", "a:x", "node"), ("1", "x", "root")], key=repr)

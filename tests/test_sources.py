@@ -103,3 +103,33 @@ def test_small_inputs(spark, tmp_path):
             repositories(spark, bad)
     (tmp_path / "log.txt").write_text("s1\u001f2026-01-01\u001fann\n\na.js\nb.js\ns2\u001f2026-01-02\u001fbob\na.js\n")
     assert sorted((r.sha, r.file) for r in history(spark, str(tmp_path / "log.txt")).collect()) == [("s1", "a.js"), ("s1", "b.js"), ("s2", "a.js")]
+
+
+def test_payloads_are_answered(spark, tmp_path, monkeypatch):
+    from spanloom.sources import otlp
+
+    monkeypatch.setattr(otlp, "MOST", 5000)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.json").write_text("\n".join([json.dumps(payload()), "{broken", "", "\x0a\x05proto", json.dumps({"resourceSpans": [], "pad": "x" * 6000}), json.dumps({"resourceSpans": []})]))
+    rows = otlp.read_payloads(spark, str(tmp_path / "in"))
+    assert sorted(r.status for r in rows.collect()) == [200, 200, 400, 400, 413]
+    assert normalise(otlp.accepted(rows)).count() == 2
+    assert {r.status for r in otlp.refused(rows).collect()} == {400, 413} and all(r.problem and r.file for r in otlp.refused(rows).collect())
+    stream, out = otlp.read_payloads(spark, str(tmp_path / "in"), stream=True), []
+    stream.writeStream.foreachBatch(lambda b, _: out.extend(otlp.refused(b).collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert len(out) == 3
+
+
+@pytest.mark.parametrize(
+    "over,message",
+    [({"framework": "rails"}, "framework"), ({"port": 0}, "port"), ({"port": True}, "port"), ({"include": "*.py"}, "include"), ({"baseUrlEnv": ["X"]}, "baseUrlEnv"), ({"name": "a"}, "twice")],
+)
+def test_repository_lists_are_checked(spark, over, message):
+    good = {"name": "a", "root": "/r/a", "lang": "python", "framework": "fastapi", "port": 4100, "include": ["src/**"], "baseUrlEnv": {"ENGINE_URL": "engine"}, "// why": "x"}
+    both = [good, {**good, "name": "b", "service": "bee", **over}]
+    with pytest.raises(ValueError, match=message):
+        repositories(spark, json.dumps({"repos": both}))
+    from spanloom.sources.text_inputs import service_places
+
+    hosts, ports, env = service_places(repositories(spark, json.dumps({"repos": [good, {**good, "name": "b", "service": "bee", "port": None}]})))
+    assert {tuple(r) for r in hosts.collect()} == {("a", "a"), ("bee", "bee"), ("b", "bee")} and [tuple(r) for r in ports.collect()] == [(4100, "a")] and {r.name for r in env.collect()} == {"ENGINE_URL"}

@@ -79,4 +79,65 @@ def test_diff_and_audit(spark):
     found = M.audit({"nodes": table(spark, "nodes", [(1, "file", "a", 1), (2, "odd", "b", 1)]), "edges": table(spark, "edges", [edge(1, 1, 5), edge(2, 1, 5), edge(3, 1, 2)])})
     bad = {(r.table_name, r.column_name, r.problem): r.n_rows for r in found.collect() if r.n_rows}
     assert bad == {("edges", "dst_node_id", "reference"): 2, ("nodes", "kind", "enum"): 1}
-    assert M.repeats(table(spark, "nodes", [(1, "file", "a", 1), (2, "file", "a", 1)]), "nodes").count() == 1
+
+
+def test_two_writers_of_one_table(spark, store):
+    from spanloom.store import Conflict
+
+    nodes = lambda *ids: table(spark, "nodes", [(i, "file", f"f{i}", 1) for i in ids])
+    store.commit({"nodes": nodes(1)})
+    other = Store(spark, store.path)
+    base = store.snapshot
+    other.insert("nodes", nodes(2))
+    with pytest.raises(Conflict):
+        store.commit({"nodes": nodes(1, 3)}, base)
+    assert store.snapshot == 2 and sorted(r.node_id for r in store.read("nodes").collect()) == [1, 2]
+    # Another table goes on top of what was committed meanwhile.
+    assert store.commit({"edges": table(spark, "edges", [edge(1, 1, 2)])}, base) == 3
+    assert store.read("nodes").count() == 2 and store.read("nodes", 1).count() == 1
+
+
+def test_an_update_that_was_overtaken_runs_again(spark, store):
+    store.commit({"nodes": table(spark, "nodes", [(1, "file", "a", 1)])})
+    other, calls = Store(spark, store.path), []
+
+    def change(old):
+        if not calls:
+            other.insert("nodes", table(spark, "nodes", [(2, "file", "b", 1)]))
+        calls.append(1)
+        return M.first_wins(old, table(spark, "nodes", [(3, "file", "c", 1)]), ["kind", "key"])
+
+    store.update(nodes=change)
+    assert len(calls) == 2 and sorted(r.node_id for r in store.read("nodes").collect()) == [1, 2, 3]
+
+
+def test_vacuum_keeps_what_is_named(spark, store):
+    for i in range(4):
+        store.commit({"nodes": table(spark, "nodes", [(i, "file", "a", 1)])} | ({"edges": table(spark, "edges", [edge(1, 1, 1)])} if i == 0 else {}))
+    assert store.vacuum(keep=1) == 3
+    assert store.read("nodes").first().node_id == 3 and store.read("edges").count() == 1 and store.vacuum(keep=1) == 0
+
+
+def test_migrations_go_step_by_step(spark, store, monkeypatch):
+    from spanloom import store as module
+
+    store.commit({"nodes": table(spark, "nodes", [(1, "file", "A", 1)])})
+    assert store.migrate() == []
+    monkeypatch.setattr(module, "SCHEMA_VERSION", 3)
+    monkeypatch.setattr(module, "MIGRATIONS", {1: lambda t: {"nodes": t["nodes"].selectExpr("node_id", "kind", "lower(key) as key", "repo_id")}, 2: lambda t: {"nodes": t["nodes"].selectExpr("node_id + 10 as node_id", "kind", "key", "repo_id")}})
+    assert store.migrate() == [2, 3] and store.migrate() == []
+    assert tuple(store.read("nodes").first()) == (11, "file", "a", 1)
+    monkeypatch.setattr(module, "SCHEMA_VERSION", 2)
+    with pytest.raises(ValueError, match="version 3"):
+        store.read("nodes")
+
+
+def test_runs_and_methods(spark, store):
+    store.start_run(1, 7, "static", "indexer", at="2026-01-01 00:00:00")
+    store.start_run(1, 8, "boot", "again")
+    store.finish_run(1, at="2026-01-02 00:00:00")
+    store.finish_run(1, at="2026-01-03 00:00:00")
+    row = store.read("runs").first()
+    assert (row.repo_id, row.channel, row.started_at.day, row.finished_at.day, store.read("runs").count()) == (7, "static", 1, 2, 1)
+    store.upsert("routes", table(spark, "routes", [(1, 1, "svc", "get", "/a", None, None, None, None, False, "boot", 1)]))
+    assert store.read("routes").first().method == "GET"

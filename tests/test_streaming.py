@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators.traces import tail_sample
-from spanloom.streaming.sampler import deliver_once, keeps, receiver_statistics, run_batchwise, tail_sample_stream, traffic_windows
+from spanloom.streaming.sampler import deliver_once, keeps, receiver_report, run_batchwise, sampled_with_statistics, tail_sample_stream, traffic_windows
 
 SCHEMA = "trace_id string, span_id string, parent_span_id string, status string, start_unix_us long, service_name string, http_route string, duration_us long"
 
@@ -69,13 +69,17 @@ def test_traffic_windows(spark, slide):
     assert got.agg(F.sum("n_errors")).first()[0] == 2 if slide else 1
 
 
-def test_receiver_statistics(spark, tmp_path):
-    from pyspark.sql import Observation
-
-    seen = Observation("n")
-    spark.createDataFrame(spans(4), SCHEMA).observe(seen, F.count("*").alias("received")).collect()
-    assert seen.get["received"] == 8
-    assert receiver_statistics(spark.createDataFrame(spans(4), SCHEMA)).count() == 8
+def test_receiver_report(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        rows = [("a", "r", None, "ok", 1, "s", None, 1), ("a", "c", "r", "error", 1, "s", None, 1), ("b", "r", None, "ok", 1, "s", None, 1), ("c", "x", "gone", "ok", 1, "s", None, 1)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        query = run_batchwise(sampled_with_statistics(stream, 0.0), lambda b, _: b.collect(), str(tmp_path / "cp"))
+        query.awaitTermination()
+        assert receiver_report(query) == {"received": 4, "errored": 1, "kept": 2, "buffered": 1}
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
 def test_timer_counts_from_first_sight(spark, tmp_path):
