@@ -17,6 +17,7 @@ PAIR_SUPPORT, PAIR_LIFT = 5, 6
 MIN_SPANS, SPREAD = 20, 8
 HARD_LEVEL = 4
 DAYS_ERROR = 0.01
+LEXICAL_WEIGHT = 2.5
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +39,12 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return positions(_ranks(spark, d), "query_id", "node_key")
 
 
+def p1_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking with every lexical build counted LEXICAL_WEIGHT times."""
+    builds = read(spark, d, "search_builds").withColumn("weight", F.when(F.col("provider").isNull(), LEXICAL_WEIGHT).otherwise(1.0))
+    return median_ranks(read(spark, d, "search_hits"), builds, "query_id", "node_key", "build_id", "score", "score_order", "weight")
+
+
 # Problem 2
 
 
@@ -144,7 +151,7 @@ def p9_seeded(spark: SparkSession, d: str) -> DataFrame:
     return assign_levels(docs, train(docs, formula_labels(docs)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p2_found, p2_pairs, p4_found, p4_percentiles, p4_days_combined, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p9_found, p9_levels, p9_seeded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p1_weighted, p2_found, p2_pairs, p4_found, p4_percentiles, p4_days_combined, p7_ids, p7_roundtrip, p8_found, p8_mix, p8_shares, p9_found, p9_levels, p9_seeded)}
 
 _RANKS = """
   s as (select h.query_id, h.build_id, h.node_key, min(case when b.score_order = 'asc' then score else -score end) as v
@@ -175,6 +182,9 @@ ORACLE = {
     "p4_days_combined": f"with {_SHARES} select service_name, http_route, n_spans, {_CELL.format('p50')} as p50, {_CELL.format('p95')} as p95, true as p50_within, true as p95_within from w",
     "p1_found": f"with {_RANKS} select query_id, node_key from p where position = 1",
     "p1_ranking": f"with {_RANKS} select * from p",
+    "p1_weighted": f"""with {_RANKS}, fw as (select i.query_id, i.node_key, coalesce(r.k, z.n + 1) as k, r.k as own, case when b.build_id is not null and b.provider is null then {LEXICAL_WEIGHT} else 1.0 end::double as w from i join z using (query_id) left join r using (query_id, build_id, node_key) left join search_builds b using (build_id)),
+      c as (select *, sum(w) over (partition by query_id, node_key order by k, w rows unbounded preceding) as cum, sum(w) over (partition by query_id, node_key) as whole from fw)
+      select query_id, node_key, (min(k) filter (where cum * 2 >= whole) + coalesce(min(k) filter (where cum * 2 > whole), min(k) filter (where cum * 2 >= whole))) / 2.0::double as median_rank, sum(k * w) / sum(w) as mean_rank, cast(count(own) as int) as n_scores from c group by 1, 2""",
     "p2_found": f"with {_PAIRS} select service_name, item_a as function_a, item_b as function_b from q where n_ab * n_records >= {PAIR_LIFT} * n_a * n_b",
     "p2_pairs": f"with {_PAIRS} select * from q",
     "p4_found": f"with {_SHARES} select service_name, http_route from w where http_route is not null and n_spans >= {MIN_SPANS} and p95 >= {SPREAD} * p50",
