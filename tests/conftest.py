@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
         "tests",
         **{
             "spark.master": "local[4]",
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             # Tiny inputs: interpreted plans beat compiling each of them.
             "spark.sql.codegen.wholeStage": "false",
             "spark.sql.codegen.factoryMode": "NO_CODEGEN",
