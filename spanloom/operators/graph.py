@@ -256,9 +256,10 @@ def _level(state: DataFrame, links: DataFrame, hubs: DataFrame | None, depth: in
 def _deal(links: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(links with _of, hubs (_hub, _shares), number of hubs): no share of a node much over ``most`` links."""
     most = most or HUB_LINKS
-    links = stage(links, "links")
+    links, n_links = stage_counting(links, "links")
     hubs = links.groupBy(F.col("_at").alias("_hub")).agg(F.ceil(F.count("*") / most).cast("int").alias("_shares")).filter("_shares > 1")
-    hubs, n_hubs = stage_counting(hubs, "hubs")
+    # Fewer links in all than a share holds: no node can have too many.
+    hubs, n_hubs = stage_counting(hubs, "hubs") if n_links > most else (hubs, 0)
     if not n_hubs:
         return links.withColumn("_of", F.lit(0)), hubs, 0
     of = F.pmod(F.xxhash64("_to"), F.coalesce("_shares", F.lit(1))).cast("int")

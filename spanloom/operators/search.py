@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,19 +56,19 @@ def bm25(found: DataFrame, size: DataFrame, key: str, terms: list[str], prefix:
     next to nothing.
     """
     wanted = sorted(set(terms))
-    rows = None
-    for term in wanted:
-        hit = F.col("term").startswith(term) if prefix else F.col("term") == term
-        mine = found.filter(hit).groupBy(key, "length").agg(F.sum("tf").alias("_tf"))
-        mine = mine.select(key, "length", "_tf", F.lit(term).alias("_term"), F.lit(terms.count(term)).alias("_times"))
-        rows = mine if rows is None else rows.unionByName(mine)
-    df = rows.groupBy("_term").agg(F.count("*").alias("_df"))
-    # As many rows as the query has terms, and one row of corpus statistics.
-    rows = rows.join(F.broadcast(df), "_term").crossJoin(F.broadcast(size))
-    idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(LEAST_IDF))
-    part = F.col("_times") * idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    scored = rows.groupBy(key).agg(F.count("*").alias("_all"), F.sum(part).alias("score"))
-    return scored.filter(F.col("_all") == len(wanted)).select(key, "score")
+    hits = [F.col("term").startswith(t) if prefix else F.col("term") == t for t in wanted]
+    some = reduce(Column.__or__, hits)
+    # One row per document with any of the terms, read once for their frequencies and for the scores.
+    rows = found.filter(some).groupBy(key, "length").agg(*(F.sum(F.when(hit, F.col("tf"))).alias(f"_t{i}") for i, hit in enumerate(hits)))
+    stats = rows.agg(*(F.count(f"_t{i}").alias(f"_df{i}") for i in range(len(wanted)))).crossJoin(size)
+    score, every = F.lit(0.0), F.lit(True)
+    for i, term in enumerate(wanted):
+        tf, df = F.col(f"_t{i}"), F.col(f"_df{i}")
+        idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        score = score + terms.count(term) * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
+        every = every & tf.isNotNull()
+    # One row of statistics.
+    return rows.filter(every).crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
 
 
 def search_docs(nodes: DataFrame, routes: DataFrame, symbols: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
