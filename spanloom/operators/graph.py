@@ -172,13 +172,17 @@ def reach(edges: DataFrame, seeds: DataFrame, types: list[str], max_depth: int |
 
     ``seeds`` has (seed, node_id), many nodes each; only nodes of ``expand`` are left.
     """
-    links = edges.filter(F.col("type").isin(*types)).select(F.col("src_node_id").alias("_at"), F.col("dst_node_id").alias("_to")).dropna().distinct()
-    if expand is not None:
-        links = links.join(expand.select(F.col("node_id").alias("_at")), "_at", "left_semi")
+    links = reach_links(edges, types, expand)
     start = seeds.select("seed", "node_id", F.lit(False).alias("_start"))
     return _grow(links.withColumn("_r", F.lit(3)), start, max_depth, None).select("seed", "node_id")
 
 
+def reach_links(edges: DataFrame, types: list[str], expand: DataFrame | None = None) -> DataFrame:
+    """(_at, _to) of the distinct links of the given types, those that leave nodes of ``expand`` if given."""
+    links = edges.filter(F.col("type").isin(*types)).select(F.col("src_node_id").alias("_at"), F.col("dst_node_id").alias("_to")).dropna().distinct()
+    return links if expand is None else links.join(expand.select(F.col("node_id").alias("_at")), "_at", "left_semi")
+
+
 def remote(edges: DataFrame, chain: DataFrame, symbols: DataFrame, routes: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, types: list[str] | None = None) -> DataFrame:
     """(seed, node_id, depth) of the routes each seed route leads to, whatever the number of hops.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import symbols as S
 from spanloom.operators import graph as G
+from spanloom.operators.bit_reach import reach_sums
 from spanloom.plans import payload
 from spanloom.plans.engine import Engine
 from spanloom.queries.common import EDGES_SQL, NAME_SQL, RANK_SQL, SPACES_SQL, read
@@ -35,9 +36,7 @@ def _route_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
 def route_links(spark: SparkSession, d: str) -> DataFrame:
     """How many other routes the chain of each route leads to within MAX_DEPTH links."""
     edges, chain, symbols, routes = _route_graph(spark, d)
-    found = G.reach(edges, chain.toDF("seed", "node_id"), G.FLOW_TYPES, expand=symbols)
-    far = found.join(routes, "node_id", "left_semi").filter("node_id <> seed")
-    return far.groupBy(F.col("seed").alias("route_node_id")).agg(F.count("*").alias("n_remote"), F.sum("node_id").alias("id_sum"))
+    return reach_sums(edges, chain.toDF("seed", "node_id"), G.FLOW_TYPES, routes, expand=symbols).toDF("route_node_id", "n_remote", "id_sum")
 
 
 def remote_routes(spark, d):
